@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import token_counts
+from tidemill.llm import chat, packing, token_counts
 from tidemill.llm.common import table
 
 
@@ -14,8 +14,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(table(spark, sf_dir, "conversations")).withColumn("parts", chat.text_parts())
+    return chat.digest_conversations(chat.format_turns(turns.drop("text")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts,)}
+    return {f.__name__: f for f in (op2_token_counts, op4_chat_formatting, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
