@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, packing, token_counts
+from tidemill.llm import chat, packing, pii, simhash, token_counts
 from tidemill.llm.common import table
 
 
@@ -19,12 +19,20 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_turns(turns.drop("text")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_chat_formatting, op8_packing)}
+    return {f.__name__: f for f in (op2_token_counts, op4_chat_formatting, op5_simhash, op8_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
