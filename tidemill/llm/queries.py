@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, packing, pii, simhash, token_counts
+from tidemill.llm import chat, packing, pii, quality, simhash, token_counts
 from tidemill.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_chat_formatting, op5_simhash, op8_packing, op10_pii)}
+    return {f.__name__: f for f in (op2_token_counts, op4_chat_formatting, op5_simhash, op7_quality_rules, op8_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
