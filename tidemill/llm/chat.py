@@ -195,3 +195,17 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     rows = [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)]
     wanted = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return wanted.unionByName(conversations.sparkSession.createDataFrame(rows, PROBE_SCHEMA))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the digests of the conversations table with the added one."""
+    control = r"([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)"
+    escaped = lambda c: f"length({c}) + len(regexp_extract_all({c}, '{control}'))"
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0 FROM conversations
+  UNION ALL VALUES ({PROBE_ID}, 0, 'user', '{PROBE_TEXT}', 'user'), ({PROBE_ID}, 1, 'assistant', '{PROBE_TEXT}', 'assistant')),
+joined AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, text) AS all_turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({len(TURN) + len(BODY) + len(END)} + {escaped("role")} + {escaped("text")})::BIGINT AS formatted_chars FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined"""

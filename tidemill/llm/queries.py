@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, packing, pii, quality, simhash, token_counts
+from tidemill.llm import chat, packing, pii, quality, simhash, templates, token_counts, urls
 from tidemill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(table(spark, sf_dir, "conversations")).withColumn("parts", chat.text_parts())
     return chat.digest_conversations(chat.format_turns(turns.drop("text")))
@@ -31,13 +35,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+OPERATORS = (
+    op2_token_counts,
+    op3_html_extraction,
+    op4_chat_formatting,
+    op5_simhash,
+    op7_quality_rules,
+    op8_packing,
+    op9_url_filters,
+    op10_pii,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_chat_formatting, op5_simhash, op7_quality_rules, op8_packing, op10_pii)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.oracle(), "op9_url_filters": urls.oracle()}
