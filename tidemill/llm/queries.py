@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, packing, pii, quality, simhash, templates, token_counts, urls
+from tidemill.llm import chat, packing, pii, quality, simhash, substrings, templates, token_counts, urls
 from tidemill.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,6 +52,7 @@ OPERATORS = (
     op3_html_extraction,
     op4_chat_formatting,
     op5_simhash,
+    op6_suffix_dedup,
     op7_quality_rules,
     op8_packing,
     op9_url_filters,
