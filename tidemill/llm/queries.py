@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, packing, pii, quality, simhash, substrings, templates, token_counts, urls
+from tidemill.llm import chat, decontaminate, packing, pii, quality, simhash, substrings, templates, token_counts, urls
 from tidemill.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
+    op1_decontamination,
     op2_token_counts,
     op3_html_extraction,
     op4_chat_formatting,
