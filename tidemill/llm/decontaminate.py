@@ -20,7 +20,7 @@ leak nothing; repeated documents are each reported, equal items too. No benchmar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -145,10 +145,6 @@ def bit_masks(words: list[bytes]) -> dict[bytes, int]:
     return masks
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col))
-
-
 def _document_counts(texts: DataFrame, shared) -> tuple[np.ndarray, int]:
     """In how many documents each term of the block is, and the number of documents."""
 
@@ -237,7 +233,9 @@ def fit_basis(passages: DataFrame, block: Block, shared, rank: int = RANK) -> np
     return q @ vectors[:, leading[values[leading] > 1e-9]]
 
 
-def _search(texts: DataFrame, shared, id_type: str, min_cosine: float) -> DataFrame:
+def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) -> DataFrame:
+    """The leaks of ``texts`` (id, text); without ``id_type``, the rows of ``texts`` in which none is found."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         owners, vectors, bare = block.item_windows()
@@ -282,46 +280,51 @@ def _search(texts: DataFrame, shared, id_type: str, min_cosine: float) -> DataFr
                 yield d, k, cosine, common, answered
 
         for b in batches:
-            ids, texts_ = b.column("id"), b.column("text")
+            texts_ = b.column("text")
             for at in range(0, b.num_rows, 64):
-                rows = list(leaks([words_of(t.as_py()) for t in texts_.slice(at, 64)]))
-                if rows:
+                part = b.slice(at, 64)
+                rows = list(leaks([words_of(t.as_py() or "") for t in texts_.slice(at, 64)]))
+                if id_type is None:
+                    leaky = {d for d, *_ in rows}
+                    yield part.filter(pa.array([i not in leaky for i in range(part.num_rows)]))
+                elif rows:
                     d, k, cosine, common, answered = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([at + i for i in d])), pa.array([block.ids[i] for i in k], pa.int64()), pa.array(np.round(np.array(cosine, np.float64), 4)), pa.array(np.round(common, 4)), pa.array(answered)],
+                        [part.column("id").take(pa.array(d)), pa.array([block.ids[i] for i in k], pa.int64()), pa.array(np.round(np.array(cosine, np.float64), 4)), pa.array(np.round(common, 4)), pa.array(answered)],
                         ["id", "item_id", "cosine", "common", "answered"],
                     )
 
-    return map_batches(texts, run, f"id {id_type}, item_id long, cosine double, common double, answered boolean")
+    return map_batches(texts, run, texts.schema if id_type is None else f"id {id_type}, item_id long, cosine double, common double, answered boolean")
+
+
+def _fitted_blocks(texts: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[object]:
+    """For each block of items, what the search broadcasts."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text")).where(F.length("text") > 0)
+    items = ((r.item_id, r.text) for r in rows.orderBy("item_id", "text").toLocalIterator())
+    while held := list(islice(items, BLOCK_ITEMS)):
+        block = Block(held)
+        if block.vocab:
+            block.set_counts(*_document_counts(texts, spark.sparkContext.broadcast(block)))
+            counted = spark.sparkContext.broadcast(block)
+            block.basis = fit_basis(checkpointed(_all_passages(texts, counted)), block, counted, rank)
+            yield spark.sparkContext.broadcast(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(id, item_id, cosine, common, answered): the items that leak into each document."""
-    spark = docs.sparkSession
-    ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = _texts(docs, id_col, text_col)
-    out = spark.createDataFrame([], f"id {id_type}, item_id long, cosine double, common double, answered boolean")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text")).where(F.length("text") > 0)
-    held: list[tuple[int, str]] = []
-
-    def search(items: list[tuple[int, str]]) -> DataFrame | None:
-        block = Block(items)
-        if not block.vocab:
-            return None
-        first = spark.sparkContext.broadcast(block)
-        df, n = _document_counts(texts, first)
-        block.set_counts(df, n)
-        counted = spark.sparkContext.broadcast(block)
-        passages = checkpointed(_all_passages(texts, counted))
-        block.basis = fit_basis(passages, block, counted, rank)
-        return _search(texts, spark.sparkContext.broadcast(block), id_type, min_cosine)
-
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        if len(held) == BLOCK_ITEMS:
-            found, held = search(held), []
-            out = out if found is None else out.unionByName(found)
-    if held and (found := search(held)) is not None:
-        out = out.unionByName(found)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col))
+    out = docs.sparkSession.createDataFrame([], f"id {id_type}, item_id long, cosine double, common double, answered boolean")
+    for block in _fitted_blocks(texts, benchmark, rank):
+        out = out.unionByName(_search(texts, block, id_type, min_cosine))
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """The rows of ``docs``, all columns, into which no item leaks; no shuffle of texts."""
+    out = docs.withColumnRenamed(text_col, "text")
+    for block in _fitted_blocks(docs.select(text_or_empty(text_col)), benchmark, rank):
+        out = _search(out, block, None, min_cosine)
+    return out.withColumnRenamed("text", text_col)

@@ -116,7 +116,7 @@ def measure(texts: list[str], rules: Rules = Rules()) -> list[np.ndarray]:
 def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` words (taken as six bytes each)."""
     for b in batches:
-        sizes = b.column("bytes").to_numpy()
+        sizes = b.column("_bytes").to_numpy()
         start = held = 0
         for k, size in enumerate(sizes.tolist()):
             if held and held + size > 6 * limit:
@@ -135,10 +135,25 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
         for b in _groups(batches, BATCH_WORDS):
             yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, measure(b.column("text").to_pylist(), rules))], ["id", *NAMES])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).withColumn("bytes", F.octet_length("text").cast("long"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).withColumn("_bytes", F.octet_length("text").cast("long"))
     measured = map_batches(rows, run, ", ".join([f"id {id_type}", *(f"{n} long" for n in NAMES)]))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_gram_percent * F.col("n_words"))
     copied = 100 * F.col("n_covered_words") > rules.max_covered_percent * F.col("n_words")
     long = (F.col("longest_repeat") > rules.max_longest) & (100 * F.col("longest_repeat") > rules.max_longest_percent * F.col("n_words"))
     columns = [F.col(n) for n in NAMES[:5]]
     return measured.select(F.col("id").alias(id_col), *columns, failed.alias("base_failed"), (~failed & ~copied & ~long).alias("kept"), *NAMES[5:])
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs``, all columns, that break no rule; no shuffle."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _groups(batches, BATCH_WORDS):
+            n_words, *_, repeats, covered, longest = measure([t or "" for t in b.column(text_col).to_pylist()], rules)
+            bad = (n_words < rules.min_words) | (100 * repeats > rules.max_gram_percent * n_words) | (100 * covered > rules.max_covered_percent * n_words)
+            bad |= (longest > rules.max_longest) & (100 * longest > rules.max_longest_percent * n_words)
+            yield b.filter(pa.array(~bad)).select(names)
+
+    sized = docs.withColumn("_bytes", F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long"))
+    return map_batches(sized, run, docs.schema)

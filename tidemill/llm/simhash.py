@@ -172,13 +172,31 @@ def near_links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFra
     return dealt.repartition(n, "key").mapInArrow(_links(bits), "a long, b long")
 
 
+def _classes(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, root): the name of each fingerprint's component among the fingerprints of ``rows``."""
+    distinct = checkpointed(rows.select("fp").distinct())
+    found = components(near_links(distinct, bits))
+    return checkpointed(distinct.join(found, distinct.fp == found.v, "left").select("fp", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits) and component_id, the smallest id reachable by links of at most ``bits``."""
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    by_fp = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(near_links(by_fp.select("fp"), bits))
-    rooted = by_fp.join(found, by_fp.fp == found.v, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    rooted = checkpointed(rooted)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = _classes(rows, bits)
+    firsts = rows.groupBy("fp").agg(F.min("id").alias("first")).join(classes, "fp")
+    named = classes.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: that of the least id, one of equal rows.
+
+    A row without an id stands only for a component that has no other.
+    """
+    texts = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("digest")).alias("row"), F.col(text_col).alias("text"))
+    rows = checkpointed(fingerprints(texts, "row", "text", shingle).withColumnRenamed("id", "row"))
+    firsts = rows.groupBy("fp").agg(F.min("row").alias("row")).join(_classes(rows, bits), "fp")
+    chosen = firsts.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("_id"), F.col("row.digest").alias("_digest"))
+    digested = docs.withColumn("_text_digest", F.xxhash64(text_or_empty(text_col)))
+    same = digested[id_col].eqNullSafe(chosen["_id"]) & (digested["_text_digest"] == chosen["_digest"])
+    return digested.join(chosen, same, "left_semi").dropDuplicates([id_col, "_text_digest"]).select(docs.columns)
