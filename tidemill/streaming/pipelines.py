@@ -24,7 +24,7 @@ from tidemill.session import ship_package
 from tidemill.sources import tables
 from tidemill.streaming.folders import shared_folder
 
-SENTINEL = dt.datetime(9000, 1, 1)
+SENTINEL = dt.datetime(2200, 1, 1)  # within the range of nanosecond clocks
 EVENTS = tables.EVENTS.replace("TIMESTAMP_NTZ", "TIMESTAMP")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
