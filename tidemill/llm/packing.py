@@ -13,7 +13,10 @@ number and a counter: a task that is run again gives the same pieces.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,47 +30,55 @@ from tidemill.llm.common import map_batches, text_or_empty, tokenizer_bytes
 MODEL = "byte_bpe_50k.json"
 WINDOW, END_ID, MAX_OPEN = 2048, 1, 4096
 #: Entries of a worker's table of encoded words, and the longest word it keeps.
-CACHE_SIZE, WORD_CHARS = 600_000, 48
+CACHE_SIZE, WORD_CHARS = 400_000, 48
 
 _encoders: dict[int, WordIds] = {}
 
 
+def byte_encoding(model: bytes):
+    """The byte-level BPE of a tokenizer file as a ``tiktoken`` encoding, which encodes single words faster.
+
+    Ids of such a vocabulary rise in the order of its merges, so they serve as ranks; added tokens are left out.
+    """
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    file = json.loads(model)
+    added = {t["content"] for t in file["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordIds(dict):
-    """Word with its leading space -> its ids, as little-endian unsigned 32-bit bytes.
+    """Word without its leading space -> ids of it with the space, as little-endian unsigned 32-bit bytes.
 
     The pre-tokenizer never joins a single space, or what comes before it, with other text on its left, so texts without
-    runs of spaces are encoded word by word. Other texts, and those that hold an added token, are encoded whole.
+    runs of spaces are encoded word by word. Other texts, and those that hold an added token, the library encodes whole.
     """
 
     def __init__(self, model: bytes) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model.decode())
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.words = Tokenizer.from_str(model.decode()), byte_encoding(model)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            words = (" " + t).split(" ")[1:]
-            if "" in words or any(a in t for a in self.added):
-                split.append(None)
-            else:
-                words[1:] = [f" {w}" for w in words[1:]]
-                split.append(words)
-        if len(self) > CACHE_SIZE:
-            self.clear()
-        new = [w for w in set().union(*(s for s in split if s)) if w not in self]
-        late = dict(zip(new, self.whole(new), strict=True))
-        self.update(late)
-        found = [b"".join(map(self.__getitem__, s)) if s else (self.whole([t])[0] if t else b"") for s, t in zip(split, texts, strict=True)]
-        for w in late:
-            if len(w) > WORD_CHARS:
-                del self[w]
-        return found
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.words.encode_ordinary(f" {word}")).tobytes()
+        if len(word) <= WORD_CHARS:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        words = text.split(" ")
+        if "" in words or any(a in text for a in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+        first = array("I", self.words.encode_ordinary(words[0])).tobytes()
+        return first + b"".join(map(self.__getitem__, words[1:]))
 
 
 class SumOfSquares:
@@ -166,9 +177,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 40, emit)
         for b in batches:
             id_kind = b.column("id").type
-            texts = b.column("text").to_pylist()
-            for doc_id, ids in zip(b.column("id").to_pylist(), encoder.encode(texts), strict=True):
-                ids += end
+            for doc_id, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                ids = encoder.encode(text.as_py()) + end
                 packer.add((doc_id, ids), len(ids) // 4)
             if len(out) > 5000:
                 yield made()
