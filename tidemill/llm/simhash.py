@@ -84,7 +84,7 @@ def block_keys(fp: F.Column, blocks: int, bits: int = BITS) -> F.Column:
 
 def _near(x: np.ndarray, bits: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs within ``bits`` of each other in x, or between x and ``other``."""
-    found_i, found_j = [], []
+    found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     y = x if other is None else other
     for i in range(0, len(x), CHUNK):
         for j in range(i if other is None else 0, len(y), CHUNK):
