@@ -78,14 +78,17 @@ def _smoothed(n: str, total: str, kinds: str, lower: Column) -> Column:
 
 
 def threshold(scored: DataFrame) -> int:
-    """The bin from which scores are accepted: best balanced accuracy on labels (a, r), the lowest of equals."""
+    """The bin from which scores are accepted: best balanced accuracy on labels (a, r), the lowest of equals.
+
+    It lies halfway between the labelled bins on either side.
+    """
     rows = scored.where("a + r > 0").groupBy("bin").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).orderBy("bin").collect()
     all_a, all_r = sum(x.a for x in rows), sum(x.r for x in rows)
-    best, at, below_a, below_r = all_a * all_r, -BIN_LIMIT, 0, 0
+    best, at, below_a, below_r, last = all_a * all_r, -BIN_LIMIT, 0, 0, None
     for x in rows:  # at most 2 * BIN_LIMIT + 1
         if (value := (all_a - below_a) * all_r + below_r * all_a) > best:
-            best, at = value, x.bin
-        below_a, below_r = below_a + x.a, below_r + x.r
+            best, at = value, x.bin if last is None else -(-(last + x.bin) // 2)
+        below_a, below_r, last = below_a + x.a, below_r + x.r, x.bin
     return at if all_a and all_r else -BIN_LIMIT
 
 
@@ -150,9 +153,9 @@ counts AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM cut GROUP BY gram),
 scored AS (SELECT norm, a, r, least(greatest(floor(sum(ln(pa) - ln(pr)) / count(*) * {BINS}), -{BIN_LIMIT}), {BIN_LIMIT})::INT AS bin
   FROM cut JOIN p{ORDER} USING (gram) GROUP BY norm, a, r),
 bins AS (SELECT bin, sum(a) AS a, sum(r) AS r FROM scored WHERE a + r > 0 GROUP BY bin),
-sums AS (SELECT bin, coalesce(sum(a) OVER w, 0) AS below_a, coalesce(sum(r) OVER w, 0) AS below_r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
+sums AS (SELECT bin, ceil((coalesce(lag(bin) OVER (ORDER BY bin), bin) + bin) / 2.0)::INT AS middle, coalesce(sum(a) OVER w, 0) AS below_a, coalesce(sum(r) OVER w, 0) AS below_r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
   FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cutoff AS (SELECT coalesce((SELECT bin FROM sums WHERE all_a > 0 AND all_r > 0 AND (all_a - below_a) * all_r + below_r * all_a > all_a * all_r
+cutoff AS (SELECT coalesce((SELECT middle FROM sums WHERE all_a > 0 AND all_r > 0 AND (all_a - below_a) * all_r + below_r * all_a > all_a * all_r
   ORDER BY (all_a - below_a) * all_r + below_r * all_a DESC, bin LIMIT 1), -{BIN_LIMIT}) AS least)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bin >= least THEN 'allow' ELSE 'block' END) AS verdict
 FROM ruled JOIN scored USING (norm), cutoff"""
