@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemill.session import ship_package
+from tidemill.streaming.folders import shared_folder
 
 #: Texts of one Arrow batch are handed to Python together; this bounds their number, Spark's byte bound bounds their size.
 BATCH_ROWS = 2000
@@ -52,6 +54,14 @@ def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
@@ -60,15 +70,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="tidemill-checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written as Parquet to the shared folder and read again; and what deletes those files."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(df.schema).parquet(folder), lambda: files.delete(path, True)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

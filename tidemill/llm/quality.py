@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_batches, text_or_empty
+from tidemill.llm.common import fresh, map_batches, text_or_empty
 from tidemill.llm.suffixes import dense, doubled, permuted_prefixes
 
 BATCH_WORDS, GRAM = 300_000, 3
@@ -113,10 +113,10 @@ def measure(texts: list[str], rules: Rules = Rules()) -> list[np.ndarray]:
     return [n_words, word_chars, symbols, lines, *(r[: len(texts)] for r in repeats)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], limit: int, size_col: str) -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` words (taken as six bytes each)."""
     for b in batches:
-        sizes = b.column("_bytes").to_numpy()
+        sizes = b.column(size_col).to_numpy()
         start = held = 0
         for k, size in enumerate(sizes.tolist()):
             if held and held + size > 6 * limit:
@@ -132,7 +132,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches, BATCH_WORDS):
+        for b in _groups(batches, BATCH_WORDS, "_bytes"):
             yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, measure(b.column("text").to_pylist(), rules))], ["id", *NAMES])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).withColumn("_bytes", F.octet_length("text").cast("long"))
@@ -146,14 +146,14 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs``, all columns, that break no rule; no shuffle."""
-    names = docs.columns
+    names, size_col = docs.columns, fresh(docs, "_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches, BATCH_WORDS):
+        for b in _groups(batches, BATCH_WORDS, size_col):
             n_words, *_, repeats, covered, longest = measure([t or "" for t in b.column(text_col).to_pylist()], rules)
             bad = (n_words < rules.min_words) | (100 * repeats > rules.max_gram_percent * n_words) | (100 * covered > rules.max_covered_percent * n_words)
             bad |= (longest > rules.max_longest) & (100 * longest > rules.max_longest_percent * n_words)
             yield b.filter(pa.array(~bad)).select(names)
 
-    sized = docs.withColumn("_bytes", F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long"))
+    sized = docs.withColumn(size_col, F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long"))
     return map_batches(sized, run, docs.schema)

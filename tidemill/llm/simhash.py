@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, map_batches, shuffle_partitions, text_or_empty
+from tidemill.llm.common import checkpointed, fresh, map_batches, shuffle_partitions, text_or_empty
 from tidemill.llm.components import components, spanning_roots
 from tidemill.session import ship_package
 
@@ -197,6 +197,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows = checkpointed(fingerprints(texts, "row", "text", shingle).withColumnRenamed("id", "row"))
     firsts = rows.groupBy("fp").agg(F.min("row").alias("row")).join(_classes(rows, bits), "fp")
     chosen = firsts.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("_id"), F.col("row.digest").alias("_digest"))
-    digested = docs.withColumn("_text_digest", F.xxhash64(text_or_empty(text_col)))
-    same = digested[id_col].eqNullSafe(chosen["_id"]) & (digested["_text_digest"] == chosen["_digest"])
-    return digested.join(chosen, same, "left_semi").dropDuplicates([id_col, "_text_digest"]).select(docs.columns)
+    name = fresh(docs, "_text_digest")
+    digested = docs.withColumn(name, F.xxhash64(text_or_empty(text_col)))
+    same = digested[id_col].eqNullSafe(chosen["_id"]) & (digested[name] == chosen["_digest"])
+    return digested.join(chosen, same, "left_semi").dropDuplicates([id_col, name]).select(docs.columns)
