@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, map_batches, text_or_empty
+from tidemill.llm.common import checkpointed, map_batches, stored, text_or_empty
 from tidemill.llm.suffixes import induced, permuted_prefixes
 from tidemill.session import ship_package
 
 LENGTH, GRAM = 400, 64
-#: Segments of an anchor beyond which its strings are counted by digest; bytes of a shard.
-HOT, SHARD_BYTES = 2000, 2_000_000
+#: Different segments of an anchor beyond which its strings are counted by digest; bytes of a shard.
+HOT, SHARD_BYTES = 500, 1_000_000
 #: Positions handled at once; a longer text is handled in overlapping stretches.
-STRETCH = 1 << 22
+STRETCH = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
 
@@ -95,7 +95,7 @@ def repeated_starts(segments: list[bytes], windows: np.ndarray, length: int = LE
     delta = np.bincount(offsets, minlength=n + 1) - np.bincount(offsets + windows, minlength=n + 1)
     counted = np.cumsum(delta[:n]) > 0
     sa = induced(text)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     common = permuted_prefixes(text, phi, limit=length)
     run = np.cumsum(common[sa] < length)
@@ -121,16 +121,17 @@ def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
 def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, hashes, first, last = [], [], [], []
+            keys, hashes, places, digests = [], [], [], []
             for key, text in zip(b.column("tkey").to_pylist(), b.column("text"), strict=True):
-                h, a, z = anchors(np.frombuffer(text.as_buffer(), np.uint8), length)
+                data = memoryview(text.as_buffer())
+                h, a, z = anchors(np.frombuffer(data, np.uint8), length)
                 keys += [key] * len(h)
+                digests += [hashlib.blake2b(data[i : j + length], digest_size=8).digest() for i, j in zip(a.tolist(), z.tolist(), strict=True)]
                 hashes.append(h)
-                first.append(a)
-                last.append(z)
+                places.append(a << 32 | z)
             if keys:
-                h, a, z = (np.concatenate(x) for x in (hashes, first, last))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys, pa.binary()), pa.array(a), pa.array(z)], ["anchor", "tkey", "first", "last"])
+                columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "tkey", "place"])
 
     return run
 
@@ -178,28 +179,35 @@ def _digest_windows(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, keys: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Spans (tkey, s, e) of repeated strings in the texts (id, tkey, text as binary) of at least ``length`` bytes.
 
-    Spans of a text may overlap. Of texts with the same tkey, the one with the least id is looked at.
+    Spans of a text may overlap. Of texts with the same tkey, the one with the least id (``keys``: tkey, least) is cut.
     """
-    spark = texts.sparkSession
-    ship_package(spark)
-    found = map_batches(texts.select("tkey", "text"), _find_anchors(length), "anchor long, tkey binary, first long, last long")
-    found = checkpointed(found.distinct())
-    counts = found.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot"))
-    segments = found.join(counts, "anchor").groupBy("tkey").agg(F.collect_list(F.struct("anchor", "hot", "first", "last")).alias("segs"))
-    one = texts.groupBy("tkey").agg(F.min("id").alias("least"))
-    looked_at = texts.join(segments.join(one, "tkey"), "tkey").where("id <=> least").select("tkey", "text", "segs")
+    ship_package(texts.sparkSession)
+    found, drop = stored(map_batches(texts.select("tkey", "text"), _find_anchors(length), "anchor long, digest long, tkey binary, place long"))
+    # anchors that occur in two places; copies of a text give the same rows and count once
+    where = F.xxhash64("digest", "tkey", "place")
+    several = found.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("anchor")
+    found = checkpointed(found.join(several, "anchor").distinct())
+    drop()
+    first, last = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    found = found.select("anchor", "digest", "tkey", first.alias("first"), last.alias("last"))
+    kinds = checkpointed(found.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "first", "last")).alias("one")))
+    again = kinds.where("n > 1").select("anchor", "digest")
+    by_copy = found.join(again, ["anchor", "digest"]).select("tkey", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    varied = kinds.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot"))
+    segments = kinds.join(varied, "anchor").groupBy("one.tkey").agg(F.collect_list(F.struct("anchor", "hot", "one.first", "one.last")).alias("segs"))
+    looked_at = texts.join(segments.join(keys.select("tkey", "least"), "tkey"), "tkey").where("id <=> least").select("tkey", "text", "segs")
     cut = checkpointed(map_batches(looked_at, _cut_segments(length), "anchor long, hot boolean, tkey binary, first long, windows long, segment binary"))
     size = cut.where("not hot").agg(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     by_sort = cut.where("not hot").select(shard, "tkey", "first", "windows", "segment").groupBy("shard").applyInArrow(_sort_shard(length), "tkey binary, s long, e long")
     strings = map_batches(cut.where("hot").select("tkey", "first", "windows", "segment"), _digest_windows(length), "digest binary, tkey binary, s long")
-    again = strings.groupBy("digest").count().where("count > 1").select("digest")
-    by_digest = strings.join(again, "digest").select("tkey", "s", (F.col("s") + length).alias("e"))
-    return by_sort.unionByName(by_digest)
+    repeated = strings.groupBy("digest").count().where("count > 1").select("digest")
+    by_digest = strings.join(repeated, "digest").select("tkey", "s", (F.col("s") + length).alias("e"))
+    return by_copy.unionByName(by_sort).unionByName(by_digest)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -207,8 +215,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).select("id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("tkey"), F.col("text").cast("binary").alias("text"))
     long = rows.where(F.length("text") >= length)
-    copied = long.groupBy("tkey").agg(F.count("*").alias("n")).where("n > 1").select("tkey", F.lit(True).alias("copied"))
-    spans = repeated_spans(long, length, hot, shard_bytes).groupBy("tkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    keys = checkpointed(long.groupBy("tkey").agg(F.count("*").alias("n"), F.min("id").alias("least")))
+    copied = keys.where("n > 1").select("tkey", F.lit(True).alias("copied"))
+    spans = repeated_spans(long, keys, length, hot, shard_bytes).groupBy("tkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     removed = checkpointed(spans.join(copied, "tkey", "full"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

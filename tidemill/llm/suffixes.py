@@ -75,7 +75,7 @@ def induced(text: np.ndarray) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         sorted_lms = order[is_lms[order]]
-        names = np.empty(n, np.int64)
+        names = np.empty(n, np.int32)
         names[sorted_lms] = np.cumsum(np.concatenate([[0], _differ(text, lms, sorted_lms)]))
         names = names[lms]
         if names.max() + 1 < len(lms):
@@ -88,7 +88,7 @@ def induced(text: np.ndarray) -> np.ndarray:
 def _differ(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Whether each LMS substring in ``order`` differs from the one before it."""
     n = len(text)
-    end = np.empty(n, np.int64)  # last position of the substring that starts here
+    end = np.empty(n, np.int32)  # last position of the substring that starts here
     end[lms[:-1]], end[lms[-1]] = lms[1:], n
     a, b = order[:-1], order[1:]
     length = end[b] - b
@@ -108,7 +108,7 @@ def _induce(text: np.ndarray, small: np.ndarray, sizes: np.ndarray, lms: np.ndar
     n, k = len(text), len(sizes)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms_at = np.searchsorted(text[lms], np.arange(k + 1))
     # larger suffixes, buckets upwards
     head = starts.copy()
@@ -178,24 +178,24 @@ def permuted_prefixes(text: np.ndarray, phi: np.ndarray, floor: np.ndarray | Non
     where ``floor`` changes. ``limit``: values are only right up to it.
     """
     n = len(text)
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     has = phi >= 0
-    i = np.flatnonzero(has)
-    j = phi[i]
+    i = np.flatnonzero(has).astype(np.int32)
+    j = phi[i].astype(np.int32)
     if not len(i):
         return value
     if floor is None:
-        end = np.full(n, n)
-        low = np.zeros(n, np.int64)
+        end = np.full(n, n, np.int32)
+        low = np.zeros(n, np.int32)
     else:
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], floor[1:] != floor[:-1]])), n)
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], floor[1:] != floor[:-1]])), n).astype(np.int32)
         end = np.repeat(bounds[1:], np.diff(bounds))
         low = np.repeat(bounds[:-1], np.diff(bounds))
     carried = (i > low[i]) & (j > low[j])
     carried &= (text[np.maximum(i - 1, 0)] == text[np.maximum(j - 1, 0)]) & has[np.maximum(i - 1, 0)] & (phi[np.maximum(i - 1, 0)] == j - 1)
     a, b = i[~carried], j[~carried]
     live = np.arange(len(a))
-    length = np.zeros(len(a), np.int64)
+    length = np.zeros(len(a), np.int32)
     most = np.minimum(end[a] - a, end[b] - b)
     if limit is not None:
         # a value carried to i + d has to be right up to limit there, so runs are compared as far as they go
@@ -207,7 +207,7 @@ def permuted_prefixes(text: np.ndarray, phi: np.ndarray, floor: np.ndarray | Non
         k += 1
         length[live] = k
     value[a] = length
-    source = np.zeros(n, np.int64)
+    source = np.zeros(n, np.int32)
     source[a] = a
     source = np.maximum.accumulate(source)
     c = i[carried]
