@@ -5,7 +5,8 @@ more than ``STOP`` of all documents. Two sums over all passages give a randomise
 covariance applied to a random matrix, whose orthogonal basis spans the leading directions, and the covariance within
 that basis, which is small. In the latent space each passage is compared with the windows of all items; pairs above
 ``MIN_COSINE`` are candidates, checked on the words themselves: the longest common subsequence of the item and the
-document around the passage, as a part of the item. ``MIN_COMMON`` of the item is a leak, and so is ``MIN_PARAPHRASE`` if
+document around the passage, as a part of the item. A candidate has to share a few of the item's kept terms too (three, or two if the
+item has fewer than nine). ``MIN_COMMON`` of the item is a leak, and so is ``MIN_PARAPHRASE`` if
 the item's answer (its last sentence) stands there too.
 
 A passage with fewer than ``MIN_HITS`` benchmark terms can't hold enough of an item and is left out. Items that have
@@ -32,7 +33,7 @@ from tidemill.llm.common import checkpointed, map_batches, text_or_empty
 from tidemill.session import ship_package
 
 WINDOW, STRIDE, RANK, OVERSAMPLE, SEED = 32, 16, 96, 16, 7
-STOP, MIN_HITS, MIN_COSINE, MIN_COMMON, MIN_PARAPHRASE, BLOCK_ITEMS = 0.05, 4, 0.2, 0.8, 0.6, 5000
+STOP, MIN_HITS, MIN_COSINE, MIN_COMMON, MIN_PARAPHRASE, BLOCK_ITEMS = 0.05, 4, 0.25, 0.8, 0.6, 2000
 _SPLIT = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -127,6 +128,23 @@ class Block:
         return np.array(owners, np.int64), np.concatenate(vectors) if vectors else np.zeros((0, size)), bare
 
 
+    def items_of_terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items that hold each kept term, end to end; where each term's begin; and the terms a candidate has to share."""
+        pairs = sorted({(t, k) for k, w in enumerate(self.words) for t in self.numbers(w).tolist() if self.kept[t]})
+        terms, items = np.array(pairs, np.int64).reshape(-1, 2).T
+        least = np.clip(np.bincount(items, minlength=len(self.ids)) // 3, 2, 3)
+        return items, np.searchsorted(terms, np.arange(len(self.vocab) + 1)), least
+
+
+def shared_terms(terms: np.ndarray, rows: np.ndarray, n: int, items: np.ndarray, begins: np.ndarray, n_items: int) -> np.ndarray:
+    """How many different terms each of n passages shares with each item."""
+    width = len(begins) - 1
+    row, term = np.divmod(np.unique(rows * width + terms), width)
+    many = begins[term + 1] - begins[term]
+    flat = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begins[term], many)
+    return np.bincount(np.repeat(row, many) * n_items + items[flat], minlength=n * n_items).reshape(n, n_items)
+
+
 def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
     """Length of the longest common subsequence of ``words`` and a string of n words given by its bit masks."""
     full = (1 << n) - 1
@@ -186,7 +204,7 @@ def _all_passages(texts: DataFrame, shared) -> DataFrame:
 
 
 def _summed(passages: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
-    """The sum of ``partial(terms, rows, n)`` over all passages, added up by task, by 64 groups, and here."""
+    """The sum of ``partial(terms, rows, n)`` over all passages, added up by task, by 64 groups of tasks, and by block."""
     height = 512
     blocks = -(-shape[0] // height)
 
@@ -205,12 +223,12 @@ def _summed(passages: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
 
     def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer()) for x in rows.column("data"))
-        return pa.table({"block": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[-1].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     parts = passages.mapInArrow(run, "grp int, block int, data binary").groupBy("grp", "block").applyInArrow(add, "block int, data binary")
     out = np.zeros(shape)
-    for r in parts.toLocalIterator():
-        out[r.block * height : (r.block + 1) * height] += np.frombuffer(r.data).reshape(-1, shape[1])
+    for r in parts.groupBy("block").applyInArrow(add, "block int, data binary").collect():  # one matrix of the given shape
+        out[r.block * height : (r.block + 1) * height] = np.frombuffer(r.data).reshape(-1, shape[1])
     return out
 
 
@@ -241,6 +259,7 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
         owners, vectors, bare = block.item_windows()
         firsts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else owners
         vectors, block.basis = vectors.astype(np.float32), block.basis.astype(np.float32)
+        items, begins, least = block.items_of_terms()
         masks, kinds = [bit_masks(w) for w in block.words], [set(w) for w in block.words]
 
         def checked(words: list[bytes], k: int, at: int, cosine: float):
@@ -262,11 +281,14 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
             if n and len(owners) and block.basis.shape[1]:
                 base = np.cumsum([0, *sizes[:-1]])
                 starts, doc = np.concatenate([s for s, _, _ in found]), np.repeat(np.arange(len(found)), sizes)
-                x = block.projected(np.concatenate([t for _, t, _ in found]), np.concatenate([r + o for (_, _, r), o in zip(found, base, strict=True)]), n)
+                terms, rows = np.concatenate([t for _, t, _ in found]), np.concatenate([r + o for (_, _, r), o in zip(found, base, strict=True)])
+                x = block.projected(terms, rows, n)
                 for i in range(0, n, 2048):
                     cosines = x[i : i + 2048] @ vectors.T
                     by_item = np.maximum.reduceat(cosines, firsts, axis=1)
-                    row, item = np.nonzero(by_item >= min_cosine)
+                    a, z = np.searchsorted(rows, (i, i + len(cosines)))
+                    shared = shared_terms(terms[a:z], rows[a:z] - i, len(cosines), items, begins, len(block.ids))[:, owners[firsts]]
+                    row, item = np.nonzero((by_item >= min_cosine) & (shared >= least[owners[firsts]]))
                     for p, k, c in zip((row + i).tolist(), owners[firsts[item]].tolist(), by_item[row, item].tolist(), strict=True):
                         key = (int(doc[p]), k)
                         if best.get(key, (0,))[0] < 1 and (hit := checked(doc_words[key[0]], k, int(starts[p]), c)) and hit > best.get(key, (0,)):
