@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, packing, pii, quality, simhash
+from tidemill.llm import decontaminate, packing, pii, quality, similar
 from tidemill.llm.common import checkpointed, table
 
 #: No stage's method is expressible in SQL; ``tests/llm`` holds the pipeline against a brute-force version.
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one with the least id."""
+    return similar.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
