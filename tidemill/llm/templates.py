@@ -8,8 +8,9 @@ of the main region: of the article or main element if the page has one, else of
 never of menus, headers, footers, side bars, notices, adverts, forms or comments, which tags, classes and roles name.
 
 Hosts with many pages are split by a hash into groups of about ``GROUP`` pages; what says so is a table of those hosts,
-at most ``BUSY_HOSTS`` of them whatever the input, which is broadcast. Within a group, pages that share a long block count
-once in the deduction, so that copies of an article don't turn it into a template. Small groups have no template.
+at most ``BUSY_HOSTS`` of them whatever the input, which is broadcast. Within a group, a page that shares a long block and
+more than half of its words with an earlier one is a copy and doesn't count in the deduction, so that copies of an article
+don't turn it into a template. Small groups have no template.
 
 Null html is empty: empty text, 0 characters. Rows map one to one; a null url is a host of its own. Broken markup is read
 as far as it makes sense: unclosed comments and scripts run to the end, a cut tag is dropped, lone brackets are text.
@@ -134,15 +135,25 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     return tags, blocks
 
 
+def copies(pages: list[list[Block]]) -> list[bool]:
+    """Whether each page shares a long block and more than half of its words with one earlier page."""
+    found: list[bool] = []
+    held: list[set[tuple[str, str]]] = []
+    long_on: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for p, blocks in enumerate(pages):
+        words = {(b.key, b.text): b.text.count(" ") + 1 for b in blocks}
+        long = [t for t, n in words.items() if n > LONG_BLOCK]
+        half = sum(words.values()) / 2
+        found.append(any(sum(words[t] for t in words.keys() & held[q]) > half for q in {q for t in long for q in long_on[t]}))
+        held.append(set(words))
+        for t in long:
+            long_on[t].append(p)
+    return found
+
+
 def template_texts(pages: list[tuple[list[str], list[Block]]]) -> set[tuple[str, str]]:
     """(path, text) of the blocks that belong to the group's template."""
-    seen: set[tuple[str, str]] = set()
-    distinct = []
-    for tags, blocks in pages:  # copies share long blocks; only the first of them speaks
-        long = {(b.key, b.text) for b in blocks if b.text.count(" ") >= LONG_BLOCK}
-        if not long & seen:
-            distinct.append((tags, blocks))
-        seen |= long
+    distinct = [page for page, copy in zip(pages, copies([blocks for _, blocks in pages]), strict=True) if not copy]
     least = max(MIN_PAGES, MIN_PART * len(distinct))
     if len(distinct) < least:
         return set()
