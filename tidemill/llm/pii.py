@@ -17,6 +17,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,12 +109,11 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         a, b = max(0, a - LEFT), min(len(text), m.end() + RIGHT)
         if a <= end:
             end = max(end, b)
-            if end - start < 2000:
-                continue
+            continue
         if start >= 0:
             yield start, end
-        start, end = (a, b) if a > end else (end, end)
-    if start >= 0 and end > start:
+        start, end = a, b
+    if start >= 0:
         yield start, end
 
 
@@ -175,9 +175,8 @@ def span_features(window: str, tokens: list[tuple[int, int]], i: int, j: int) ->
     return sorted({INDEX[f] for f in on})
 
 
-def candidates(window: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-    """Spans that may be entities: up to MAX_TOKENS tokens on one line, with at least seven letters or digits."""
-    found = []
+def candidates(window: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    """Spans that may be entities, by start: up to MAX_TOKENS tokens on one line, with at least seven letters or digits."""
     has = [any(c in "0123456789@" for c in window[a:b]) for a, b in tokens]
     for i in range(len(tokens)):
         first = window[tokens[i][0]]
@@ -188,8 +187,7 @@ def candidates(window: str, tokens: list[tuple[int, int]]) -> list[tuple[int, in
                 break
             a, b = tokens[i][0], tokens[j - 1][1]
             if window[b - 1].isalnum() and b - a >= 7 and any(has[i:j]):
-                found.append((i, j, span_features(window, tokens, i, j)))
-    return found
+                yield i, j, span_features(window, tokens, i, j)
 
 
 class SemiMarkovField:
@@ -203,21 +201,28 @@ class SemiMarkovField:
         return tokens, [(i, j, f, self.weights[f].sum(0)) for i, j, f in candidates(window, tokens)]
 
     def decode(self, window: str) -> list[Span]:
-        """The best segmentation's entities."""
-        tokens, spans = self.scored(window)
-        if not spans:
-            return []
+        """The best segmentation's entities; only the candidates that end ahead are held, so windows may be long."""
+        tokens = [m.span() for m in TOKEN.finditer(window)]
         ends: dict[int, list] = {}
-        for i, j, _, scores in spans:
+        best, came = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
+        done = 0
+
+        def settle(upto: int) -> None:
+            nonlocal done
+            for j in range(done + 1, upto + 1):
+                best[j] = best[j - 1]
+                for i, score, k in ends.pop(j, ()):
+                    if best[i] + score > best[j]:
+                        best[j], came[j] = best[i] + score, (i, k)
+            done = max(done, upto)
+
+        for i, j, f in candidates(window, tokens):
+            settle(i)
+            scores = self.weights[f].sum(0)
             k = int(scores.argmax())
             if scores[k] > 0:
                 ends.setdefault(j, []).append((i, float(scores[k]), k))
-        best, came = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for i, score, k in ends.get(j, ()):
-                if best[i] + score > best[j]:
-                    best[j], came[j] = best[i] + score, (i, k)
+        settle(len(tokens))
         out, j = [], len(tokens)
         while j:
             if came[j] is None:
@@ -323,11 +328,18 @@ def all_spans(text: str, field: SemiMarkovField, base: list[Span] | None = None)
     """The patterns' spans and the field's that touch none of them, by start and then kind."""
     base = base_spans(text) if base is None else base
     found = list(base)
-    taken = sorted((a, b) for a, b, _ in base)
+    starts: list[int] = []
+    ends: list[int] = []  # of the stretches that the patterns' spans cover
+    for a, b, _ in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for w0, w1 in windows(text):
-        near = [(a, b) for a, b in taken if a < w1 and b > w0] if taken else []
         for a, b, kind in field.decode(text[w0:w1]):
-            if not any(x < b + w0 and y > a + w0 for x, y in near):
+            at = bisect_right(ends, a + w0)
+            if at == len(starts) or starts[at] >= b + w0:
                 found.append((a + w0, b + w0, kind))
     return sorted(set(found), key=lambda x: (x[0], RANK[x[2]], x[1]))
 
