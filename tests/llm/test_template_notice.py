@@ -18,3 +18,10 @@ def test_long_notice_is_template():
     assert templates.extract_group([page.format(b) for b in texts]) == texts
     few = [page.format(texts[k % 2]) for k in range(8)]  # copies of two articles are no template
     assert [t.count(texts[k % 2]) for k, t in enumerate(templates.extract_group(few))] == [1] * 8
+
+
+def test_rest_of_a_group_has_a_template():
+    page = "<body><div>Welcome to our site</div><div>Today's weather is fine</div><div><p>{}</p></div><div>All rights kept</div></body>"
+    for n in (1, 2, 3):
+        texts = bodies(templates.GROUP + n)
+        assert templates.extract_group([page.format(b) for b in texts]) == texts

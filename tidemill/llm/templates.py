@@ -197,10 +197,11 @@ def main_text(blocks: list[Block], template: set[tuple[str, str]]) -> str:
 
 
 def extract_group(pages: list[str]) -> list[str]:
-    """Main texts of pages of one host, taken in groups of GROUP."""
+    """Main texts of pages of one host, taken in equal groups of at most GROUP."""
     out = []
-    for at in range(0, len(pages), GROUP):
-        parsed = [parse(p) for p in pages[at : at + GROUP]]
+    parts = -(-len(pages) // GROUP)
+    for k in range(parts):
+        parsed = [parse(p) for p in pages[len(pages) * k // parts : len(pages) * (k + 1) // parts]]
         template = template_texts(parsed) if len(parsed) >= MIN_PAGES else set()
         out += [main_text(blocks, template) for _, blocks in parsed]
     return out
