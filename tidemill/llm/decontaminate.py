@@ -9,8 +9,10 @@ document around the passage, as a part of the item. A candidate has to share a f
 item has fewer than nine). ``MIN_COMMON`` of the item is a leak, and so is ``MIN_PARAPHRASE`` if
 the item's answer (its last sentence) stands there too.
 
-A passage with fewer than ``MIN_HITS`` benchmark terms can't hold enough of an item and is left out. Items that have
-fewer themselves are sought as they are, without a vector. Terms, their document counts and both sums are of all rows;
+A passage with fewer than ``MIN_HITS`` kept terms is left out. Items that have too few kept terms themselves are sought by
+their words, without a vector: stretches of a quarter more words than the item that hold enough of them, frequent ones
+too, are checked by the same subsequence (a verbatim copy counts as cosine 1, another as 0); items of fewer than
+``MIN_WORDS`` words only as they are. Terms, their document counts and both sums are of all rows;
 sums are of matrices of fixed size, added up in two steps. The benchmark goes to the executors in blocks of
 ``BLOCK_ITEMS`` items, one search over all documents each.
 
@@ -33,6 +35,7 @@ from tidemill.llm.common import checkpointed, map_batches, text_or_empty
 from tidemill.session import ship_package
 
 WINDOW, STRIDE, RANK, OVERSAMPLE, SEED = 32, 16, 96, 16, 7
+MIN_WORDS = 5
 STOP, MIN_HITS, MIN_COSINE, MIN_COMMON, MIN_PARAPHRASE, BLOCK_ITEMS = 0.05, 4, 0.25, 0.8, 0.6, 2000
 _SPLIT = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -128,6 +131,13 @@ class Block:
         return np.array(owners, np.int64), np.concatenate(vectors) if vectors else np.zeros((0, size)), bare
 
 
+    def items_by_words(self, bare: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``bare`` of the items that hold each term, kept or not; where each term's begin; different terms a copy has."""
+        pairs = sorted({(t, i) for i, k in enumerate(bare) for t in self.numbers(self.words[k]).tolist()})
+        terms, items = np.array(pairs, np.int64).reshape(-1, 2).T
+        missed = np.array([(1 - MIN_PARAPHRASE) * len(self.words[k]) for k in bare])
+        return items, np.searchsorted(terms, np.arange(len(self.vocab) + 1)), np.bincount(items, minlength=len(bare)) - missed
+
     def items_of_terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items that hold each kept term, end to end; where each term's begin; and the terms a candidate has to share."""
         pairs = sorted({(t, k) for k, w in enumerate(self.words) for t in self.numbers(w).tolist() if self.kept[t]})
@@ -262,9 +272,31 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
         items, begins, least = block.items_of_terms()
         masks, kinds = [bit_masks(w) for w in block.words], [set(w) for w in block.words]
 
+        word_items, word_begins, word_least = block.items_by_words(bare)
+        strings = {k: b" " + b" ".join(block.words[k]) + b" " for k in bare}
+        terms_of = {k: np.unique(block.numbers(block.words[k])) for k in bare}
+
         def checked(words: list[bytes], k: int, at: int, cosine: float):
             n = len(block.words[k])
-            around = words[max(0, at - n) : at + WINDOW + n]
+            return compared(words[max(0, at - n) : at + WINDOW + n], k, cosine)
+
+        def by_words(words: list[bytes], numbers: np.ndarray, k: int):
+            """The best hit of an item in the stretches of a document that hold enough of its words."""
+            n = len(block.words[k])
+            if strings[k] in b" " + b" ".join(words) + b" ":
+                return 1.0, 1.0, True
+            if n < MIN_WORDS:
+                return None
+            step = max(1, n // 8)
+            width = -(-5 * n // 4) + step
+            held = np.concatenate([[0], np.cumsum(np.isin(numbers, terms_of[k]))])
+            starts = np.arange(0, max(1, len(words) - width + step), step)
+            enough = held[np.minimum(starts + width, len(words))] - held[starts] >= MIN_PARAPHRASE * n
+            hits = [h for s in starts[enough].tolist() if (h := compared(words[s : s + width], k, 0.0))]
+            return max(hits, default=None)
+
+        def compared(around: list[bytes], k: int, cosine: float):
+            n = len(block.words[k])
             if len(kinds[k].intersection(around)) < len(kinds[k]) - (1 - MIN_PARAPHRASE) * n:
                 return None  # each item word that isn't there is missing from any common subsequence
             common = common_subsequence(masks[k], n, around) / n
@@ -275,7 +307,8 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
 
         def leaks(doc_words: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, bool]]:
             best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-            found = [block.passages(block.numbers(w)) for w in doc_words]
+            numbers = [block.numbers(w) for w in doc_words]
+            found = [block.passages(x) for x in numbers]
             sizes = [len(s) for s, _, _ in found]
             n = sum(sizes)
             if n and len(owners) and block.basis.shape[1]:
@@ -293,11 +326,13 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
                         key = (int(doc[p]), k)
                         if best.get(key, (0,))[0] < 1 and (hit := checked(doc_words[key[0]], k, int(starts[p]), c)) and hit > best.get(key, (0,)):
                             best[key] = hit
-            for k in bare:
-                item = b" " + b" ".join(block.words[k]) + b" "
-                for d, w in enumerate(doc_words):
-                    if item in b" " + b" ".join(w) + b" ":
-                        best[d, k] = (1.0, 1.0, True)
+            if bare:
+                present = [np.unique(x[x >= 0]) for x in numbers]
+                rows = np.repeat(np.arange(len(present)), [len(x) for x in present])
+                known = shared_terms(np.concatenate(present), rows, len(present), word_items, word_begins, len(bare))
+                for d, i in zip(*(x.tolist() for x in np.nonzero(known >= np.maximum(word_least, 1))), strict=True):
+                    if (hit := by_words(doc_words[d], numbers[d], bare[i])) and hit > best.get((d, bare[i]), (0,)):
+                        best[d, bare[i]] = hit
             for (d, k), (common, cosine, answered) in best.items():
                 yield d, k, cosine, common, answered
 
