@@ -20,3 +20,15 @@ def test_edited_copies_of_the_most_leaked_item(spark):
     benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
     found = {x.doc_id for x in decontaminate.find_leaks(spark.createDataFrame(rows, FORM), benchmark).collect()}
     assert found == set(range(20))
+
+
+def test_item_with_one_rare_term(spark):
+    r = random.Random(6)
+    common = words(r, 10)
+    item = [r.choice(common) for _ in range(16)] + ["zebra"] * 8
+    r.shuffle(item)
+    rest = [words(r, 30) + common for _ in range(100)]
+    rows = [(k, " ".join(x[: 5 + k] + item * (k < 4) + x[5 + k :])) for k, x in enumerate(rest[:20])]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    docs = spark.createDataFrame(rows + [(k + 20, " ".join(x)) for k, x in enumerate(rest[20:])], FORM)
+    assert {x.doc_id for x in decontaminate.find_leaks(docs, benchmark).collect()} == {0, 1, 2, 3}

@@ -9,8 +9,8 @@ document around the passage, as a part of the item. A candidate has to share a f
 item has fewer than nine). ``MIN_COMMON`` of the item is a leak, and so is ``MIN_PARAPHRASE`` if
 the item's answer (its last sentence) stands there too.
 
-A passage with fewer than ``MIN_HITS`` kept terms is left out. Items that have too few kept terms themselves are sought by
-their words, without a vector: stretches of a quarter more words than the item that hold enough of them, frequent ones
+A passage with fewer than ``MIN_HITS`` kept terms is left out. Items that don't have
+enough kept terms for that at every offset of a copy to the windows are also sought by their words: stretches of a quarter more words than the item that hold enough of them, frequent ones
 too, are checked by the same subsequence (a verbatim copy counts as cosine 1, another as 0); items of fewer than
 ``MIN_WORDS`` words only as they are. Terms, their document counts and both sums are of all rows;
 sums are of matrices of fixed size, added up in two steps. The benchmark goes to the executors in blocks of
@@ -118,19 +118,30 @@ class Block:
         return out
 
     def item_windows(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Item number and latent vector of each item's windows; items with too few kept terms."""
+        """Item number and latent vector of each item's windows; items that windows of a document may miss."""
         owners, vectors, bare = [], [], []
         for k, w in enumerate(self.words):
             starts, terms, rows = self.passages(self.numbers(w), 1)
-            if self.kept[self.numbers(w)].sum() < MIN_HITS:
-                bare += [k] * bool(w)
-            elif len(starts):
+            if w and not self.passes_everywhere(self.numbers(w)):
+                bare.append(k)
+            if len(starts) and self.kept[self.numbers(w)].sum() >= MIN_HITS:
                 owners += [k] * len(starts)
                 vectors.append(self.projected(terms, rows, len(starts)))
         size = self.basis.shape[1]
         return np.array(owners, np.int64), np.concatenate(vectors) if vectors else np.zeros((0, size)), bare
 
 
+    def passes_everywhere(self, terms: np.ndarray) -> bool:
+        """Whether a copy of the item has, at each offset to a document's windows, one that passes both gates, with
+        terms to spare for a copy that lacks as many of them as ``MIN_PARAPHRASE`` allows."""
+        least = min(max(len(np.unique(terms[self.kept[terms]])) // 3, 2), 3)
+        for offset in range(STRIDE):
+            parts = (terms[max(0, s) : s + WINDOW] for s in range(-offset, max(1 - offset, len(terms) - STRIDE), STRIDE))
+            held = (p[self.kept[p]] for p in parts)
+            if not any(len(h) * MIN_PARAPHRASE >= MIN_HITS and len(np.unique(h)) * MIN_PARAPHRASE >= least for h in held):
+                return False
+        return True
+
     def items_by_words(self, bare: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in ``bare`` of the items that hold each term, kept or not; where each term's begin; different terms a copy has."""
         pairs = sorted({(t, i) for i, k in enumerate(bare) for t in self.numbers(self.words[k]).tolist()})
