@@ -135,6 +135,32 @@ def test_repeats_within_one_text(spark):
     assert found == brute_repeats(texts, 400)
 
 
+def test_busy_passage_is_refiled(spark):
+    """Passages that very many texts share whole, in part or with one letter changed, in different surroundings."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, texts = word(700), {}
+    for i in range(80):
+        a, z = (0, 700) if i % 4 else (r.randrange(120), r.randrange(500, 700))
+        part = shared[a:z] if i % 8 else shared[: z // 2] + "X" + shared[z // 2 + 1 : z]
+        texts[i] = word(r.randrange(300)) + part + word(r.randrange(300)) + (shared[100:520] if i % 10 == 3 else "")
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.remove_repeats(frame, hot=3).collect()}
+    assert found == brute_repeats(texts, 400)
+
+
+def test_refiled_parts_hold_every_string_once():
+    r = np.random.default_rng(5)
+    data = r.integers(0, 256, 900, np.uint8)
+    for h, a, z, at in zip(*substrings.anchors(data), strict=True):
+        rows = [(int(h.view(np.int64)), 0, 336, b"t", int(a), int(z - a + 1), int(at), data[a : z + 400].tobytes())]
+        while any(p[1] < p[2] for p in rows):
+            rows = [p[:8] for row in rows for p in substrings.refile(row, 400)]
+            assert sorted(x for p in rows for x in range(p[4], p[4] + p[5])) == list(range(a, z + 1))
+            assert all(p[7] == data[p[4] : p[4] + p[5] + 399].tobytes() for p in rows)
+        assert len({p[0] for p in rows}) == len(rows) == z - a + 1
+
+
 def test_suffix_arrays():
     r = random.Random(1)
     for _ in range(600):

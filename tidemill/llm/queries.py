@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm import chat, decontaminate, packing, pii, quality, simhash, substrings, templates, token_counts, urls
 from tidemill.llm.common import table
@@ -32,7 +33,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=True)
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")  # a cut may halve a character
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

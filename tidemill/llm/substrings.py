@@ -6,8 +6,13 @@ their strings, and the rest are cut out as segments, one for each occurrence of
 under it. Segments with the same anchor go to the same shard. A shard's suffix array is built by induced sorting, its
 permuted common prefixes show which strings occur again, and their spans go back to the texts.
 
-Copies of a whole text are found first, by a digest, and one of them stands for all. An anchor with more than ``HOT``
-segments is not sorted in one shard: digests of its strings are counted instead, pre-aggregated. Nothing is cut off.
+Copies of a whole text are found first, by a digest, and one of them stands for all. So it is with equal segments: all
+their strings occur again, and one of them stays to be compared with others. Where more than ``HOT`` different segments
+remain under a key, too many for a shard, they are refiled: their strings are told apart by where the anchor lies in them,
+each range of places is cut into ``PARTS``, and what all strings of a part have in common, which is more than the anchor,
+joins the key. A part that is alone under its key repeats nothing. That is done again until all fits; a part of one string
+is its own key, so it ends. A round makes at most ``PARTS`` rows of a segment, whatever the number of its strings, and the
+shards sort all that is left. Nothing is cut off.
 
 Null texts are empty. Texts shorter than ``length`` lose nothing. Matches never cross texts and do count within one.
 Repeated rows are copies of each other, an empty table gives no rows, and columns besides id and text are ignored.
@@ -29,8 +34,8 @@ from tidemill.llm.suffixes import induced, permuted_prefixes
 from tidemill.session import ship_package
 
 LENGTH, GRAM = 400, 64
-#: Different segments of an anchor beyond which its strings are counted by digest; bytes of a shard.
-HOT, SHARD_BYTES = 500, 1_000_000
+#: Different segments under a key beyond which they are refiled, and into how many parts each; bytes of a shard.
+HOT, PARTS, SHARD_BYTES = 500, 4, 1_000_000
 #: Positions handled at once; a longer text is handled in overlapping stretches.
 STRETCH = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
@@ -64,13 +69,13 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) for each anchor: the starts of the strings filed under it run from first to last."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last, at) for each anchor: the starts of the strings filed under it run from first to last <= at."""
     found = [_anchors(data[at : at + STRETCH + length - 1], length, gram, at) for at in range(0, len(data) - length + 1, STRETCH)]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
 
 
-def _anchors(data: np.ndarray, length: int, gram: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, length: int, gram: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = gram_hashes(data, gram)
     w, n = length - gram + 1, len(h)
     key = (h & ~_PLACE) | np.arange(n, dtype=np.uint64)
@@ -82,7 +87,8 @@ def _anchors(data: np.ndarray, length: int, gram: int, at: int) -> tuple[np.ndar
     least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.append(first[1:], len(least)) - 1
-    return h[(least[first] & _PLACE).astype(np.int64)], first + at, last + at
+    places = (least[first] & _PLACE).astype(np.int64)
+    return h[places], first + at, last + at, places + at
 
 
 def repeated_starts(segments: list[bytes], windows: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -124,11 +130,11 @@ def _find_anchors(length: int):
             keys, hashes, places, digests = [], [], [], []
             for key, text in zip(b.column("tkey").to_pylist(), b.column("text"), strict=True):
                 data = memoryview(text.as_buffer())
-                h, a, z = anchors(np.frombuffer(data, np.uint8), length)
+                h, a, z, at = anchors(np.frombuffer(data, np.uint8), length)
                 keys += [key] * len(h)
                 digests += [hashlib.blake2b(data[i : j + length], digest_size=8).digest() for i, j in zip(a.tolist(), z.tolist(), strict=True)]
                 hashes.append(h)
-                places.append(a << 32 | z)
+                places.append((a << 12 | z - a) << 12 | at - z)
             if keys:
                 columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(places))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "tkey", "place"])
@@ -136,8 +142,13 @@ def _find_anchors(length: int):
     return run
 
 
-def _cut_segments(length: int):
-    kinds, names = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()], ["anchor", "hot", "tkey", "first", "windows", "segment"]
+_SEGMENT = "key long, lo int, hi int, tkey binary, first long, windows long, at long, segment binary"
+_NAMES = [c.split()[0] for c in _SEGMENT.split(", ")]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _cut_segments(length: int, gram: int):
+    """Segments: the key, the range of places of the anchor in a string, the first string's start, their number, the anchor's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,13 +157,36 @@ def _cut_segments(length: int):
                 data = text.as_buffer().to_pybytes()
                 for s in segs:
                     a, z = s["first"], s["last"]
-                    rows.append((s["anchor"], s["hot"], key, a, z - a + 1, data[a : z + length]))
+                    rows.append((s["anchor"], 0, length - gram, key, a, z - a + 1, z + s["after"], data[a : z + length]))
                     held += z + length - a
                 if held > 32_000_000:
-                    yield _columns(rows, kinds, names)
+                    yield _columns(rows, _KINDS, _NAMES)
                     rows, held = [], 0
             if rows:
-                yield _columns(rows, kinds, names)
+                yield _columns(rows, _KINDS, _NAMES)
+
+    return run
+
+
+def refile(segment: tuple, length: int, parts: int = PARTS) -> list[tuple]:
+    """The parts of a segment (as in ``_SEGMENT``), each with a longer key, and a digest of each."""
+    key, lo, hi, tkey, first, windows, at, data = segment
+    out = []
+    for k in range(parts):
+        a, z = lo + (hi - lo + 1) * k // parts, lo + (hi - lo + 1) * (k + 1) // parts - 1
+        start, stop = max(first, at - z), min(first + windows - 1, at - a)
+        if start <= stop and a <= z:
+            shared, part = data[at - a - first : at - z + length - first], data[start - first : stop + length - first]
+            longer = hashlib.blake2b(shared, digest_size=8, key=b"%d %d" % (key, a)).digest()
+            out.append((int.from_bytes(longer, "little", signed=True), a, z, tkey, start, stop - start + 1, at, part, int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)))
+    return out
+
+
+def _refile_segments(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [p for s in zip(*(b.column(c).to_pylist() for c in _NAMES), strict=True) for p in refile(s, length)]
+            yield _columns(rows, [*_KINDS, pa.int64()], [*_NAMES, "digest"])
 
     return run
 
@@ -167,18 +201,6 @@ def _sort_shard(length: int):
     return run
 
 
-def _digest_windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["digest", "tkey", "s"], [pa.binary(), pa.binary(), pa.int64()]
-        for b in batches:
-            rows = []
-            for key, a, m, seg in zip(*(b.column(c).to_pylist() for c in ("tkey", "first", "windows", "segment")), strict=True):
-                rows += [(hashlib.blake2b(seg[i : i + length], digest_size=16).digest(), key, a + i) for i in range(m)]
-            yield _columns(rows, kinds, names)
-
-    return run
-
-
 def repeated_spans(texts: DataFrame, keys: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Spans (tkey, s, e) of repeated strings in the texts (id, tkey, text as binary) of at least ``length`` bytes.
 
@@ -189,25 +211,33 @@ def repeated_spans(texts: DataFrame, keys: DataFrame, length: int = LENGTH, hot:
     # anchors that occur in two places; copies of a text give the same rows and count once
     where = F.xxhash64("digest", "tkey", "place")
     several = found.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("anchor")
-    found = checkpointed(found.join(several, "anchor").distinct())
+    found = checkpointed(found.join(several, "anchor").groupBy("tkey", "place").agg(F.min("anchor").alias("anchor"), F.min("digest").alias("digest")))
     drop()
-    first, last = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    found = found.select("anchor", "digest", "tkey", first.alias("first"), last.alias("last"))
-    kinds = checkpointed(found.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "first", "last")).alias("one")))
+    first, span, after = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)), F.col("place").bitwiseAND(F.lit(0xFFF))
+    found = found.select("anchor", "digest", "tkey", first.alias("first"), (first + span).alias("last"), after.alias("after"))
+    kinds = checkpointed(found.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "first", "last", "after")).alias("one")))
     again = kinds.where("n > 1").select("anchor", "digest")
-    by_copy = found.join(again, ["anchor", "digest"]).select("tkey", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
-    varied = kinds.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot"))
-    segments = kinds.join(varied, "anchor").groupBy("one.tkey").agg(F.collect_list(F.struct("anchor", "hot", "one.first", "one.last")).alias("segs"))
+    spans = found.join(again, ["anchor", "digest"]).select("tkey", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    varied = kinds.groupBy("anchor").count().where("count > 1")
+    segments = kinds.join(varied, "anchor").groupBy("one.tkey").agg(F.collect_list(F.struct("anchor", "one.first", "one.last", "one.after")).alias("segs"))
     looked_at = texts.join(segments.join(keys.select("tkey", "least"), "tkey"), "tkey").where("id <=> least").select("tkey", "text", "segs")
-    cut = checkpointed(map_batches(looked_at, _cut_segments(length), "anchor long, hot boolean, tkey binary, first long, windows long, segment binary"))
-    size = cut.where("not hot").agg(F.sum(F.length("segment"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    by_sort = cut.where("not hot").select(shard, "tkey", "first", "windows", "segment").groupBy("shard").applyInArrow(_sort_shard(length), "tkey binary, s long, e long")
-    strings = map_batches(cut.where("hot").select("tkey", "first", "windows", "segment"), _digest_windows(length), "digest binary, tkey binary, s long")
-    repeated = strings.groupBy("digest").count().where("count > 1").select("digest")
-    by_digest = strings.join(repeated, "digest").select("tkey", "s", (F.col("s") + length).alias("e"))
-    return by_copy.unionByName(by_sort).unionByName(by_digest)
+    cut = checkpointed(map_batches(looked_at, _cut_segments(length, GRAM), _SEGMENT))
+    shards = None
+    while True:
+        busy = checkpointed(cut.groupBy("key").count().where(F.col("count") > hot).select("key"))
+        fits = cut.join(busy, "key", "left_anti")
+        shards = fits if shards is None else shards.unionByName(fits)
+        if busy.isEmpty():
+            break
+        parts = checkpointed(map_batches(cut.join(busy, "key", "left_semi"), _refile_segments(length), f"{_SEGMENT}, digest long"))
+        kinds = checkpointed(parts.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "first")).alias("one")))
+        again = kinds.where("n > 1").select("key", "digest")
+        spans = spans.unionByName(parts.join(again, ["key", "digest"]).select("tkey", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1 + length).alias("e")))
+        kept = kinds.join(kinds.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "one.tkey", "one.first")
+        cut = checkpointed(parts.join(kept, ["key", "tkey", "first"], "left_semi").select(*_NAMES))
+    size = shards.agg(F.sum(F.length("segment"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // shard_bytes)))).alias("shard")
+    return spans.unionByName(shards.select(shard, "tkey", "first", "windows", "segment").groupBy("shard").applyInArrow(_sort_shard(length), "tkey binary, s long, e long"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
