@@ -99,6 +99,25 @@ def test_keeping_one_of_odd_rows(odd_documents):
     assert {r.doc_id for r in rows} == wanted and len([r for r in rows if r.doc_id == 4]) == 1
 
 
+def test_dense_key_in_bounded_memory():
+    """20,000 fingerprints within 4 bits of one: some 10 million links, of which a forest is held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    near = sorted({0x1234567890ABCDEF ^ sum(1 << k for k in r.sample(range(40), 4)) for _ in range(25_000)})[:20_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * len(near)), pa.array(near)], ["key", "fp"])
+    cut = [batch.slice(k, 3000) for k in range(0, len(near), 3000)]
+    tracemalloc.start()
+    found = list(simhash._links(4)(iter(cut)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    names, roots = components.spanning_roots(*(np.concatenate([b.column(c).to_numpy() for b in found]) for c in "ab"))
+    assert len(names) == len(near) and len(set(roots.tolist())) == 1
+    assert most < 150e6 and sum(b.num_rows for b in found) < 2 * len(near)
+
+
 def test_components_of_a_path(spark):
     path = spark.range(40).selectExpr("id + 1 AS a", "id AS b")
     assert {(r.v, r.component) for r in components.components(path).collect()} == {(i, 0) for i in range(41)}

@@ -45,5 +45,29 @@ def test_near_copies_go(spark, hot):
     wanted = brute_kept(texts)
     assert len(wanted) < 60
     assert sorted(r.doc_id for r in similar.keep_one(docs, hot=hot).collect()) == wanted
+    assert sorted(r.doc_id for r in similar.keep_one(docs, hot_bytes=9000).collect()) == wanted
     if hot == similar.HOT:
         assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()) == wanted
+
+
+def test_pairs_at_the_limit_share_a_block():
+    """Of pairs with a similarity of 0.8 to 0.82, hardly one shares no block or is told apart by SimHash."""
+    import numpy as np
+
+    r, lost = np.random.default_rng(2), 0
+    for _ in range(1500):
+        both = r.choice(2**32, 500, replace=False).astype(np.uint32)
+        a, b = np.sort(both[:450]), np.sort(both[50:])
+        assert similar.similar(a, b)
+        far = (similar.majority(similar._stirred(a.astype(np.uint64))) ^ similar.majority(similar._stirred(b.astype(np.uint64)))).bit_count() > similar.FAR
+        lost += far or not (similar.blocks(a) == similar.blocks(b)).any()
+    assert lost <= 2
+
+
+def test_odd_texts(spark):
+    rows = [(3, None), (1, ""), (2, " \t"), (4, "a b"), (5, "A  b"), (6, "a b c"), (None, "a b c"), (7, "a b c")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], DOCS).selectExpr("*", "1 AS fp", "2 AS keys", "3 AS row", "4 AS kept", "5 AS key", "6 AS sim")
+    found = similar.keep_one(docs)
+    assert found.columns == docs.columns
+    assert sorted(r.doc_id for r in found.collect()) == [1, 4, 6]
+    assert similar.keep_one(docs.where("doc_id < 0")).count() == 0

@@ -35,8 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, component): for each vertex of ``links``, the smallest vertex it can reach.
 
     Alternating large and small stars: each round points every vertex at the least of its neighbours, first among the
-    larger ones, then among the smaller. Minima are pre-aggregated and joined back, so a vertex with very many links is
-    no single task's. Each round is cut by a reliable checkpoint; there are about log(n) rounds. Self-links only name
+    larger ones, then among the smaller. Minima are pre-aggregated, checkpointed and joined back, so that the join may split
+    a vertex with very many links. Each round is cut by reliable checkpoints; there are about log(n) rounds. Self-links only name
     their vertex; null ends are ignored; no links give no rows.
     """
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
@@ -45,10 +45,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     signature = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min(F.least("v", "u")).alias("m")))
         large = both.where("v >= u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

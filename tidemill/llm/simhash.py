@@ -4,9 +4,10 @@ A fingerprint is cut into ``b`` blocks; two that differ in at most ``k`` bits ag
 is filed under every choice of ``b - k`` blocks and links are sought only under equal keys, then verified. ``b`` follows
 from the number of distinct fingerprints, so that keys stay long enough; the links found are the same for any ``b`` > k.
 
-Documents with the same fingerprint meet in one pre-aggregated row. Under a key, links are verified in memory and only a
-spanning forest of them is passed on; a key with more than ``HOT`` fingerprints is dealt out as pairs of chunks, so no
-group meets in one task and none is dropped.
+Documents with the same fingerprint meet in one pre-aggregated row. Under a key, links are verified in memory, in square
+chunks, and only a spanning forest of them is held and passed on. The fingerprints of keys with more than ``HOT`` are filed
+again by more blocks, so under longer keys; with the most, 16, a key leaves 16 bits free, so it has at most 65,536. Rows
+grow in proportion to the fingerprints of such keys, no group is unbounded, and no link is lost.
 
 Null texts have no words, like empty ones: fingerprint zero. Repeated rows stay repeated. A null id is kept and never
 becomes a component's name unless the component has no other. An empty table gives an empty result.
@@ -27,8 +28,8 @@ from tidemill.llm.components import components, spanning_roots
 from tidemill.session import ship_package
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Fingerprints under one key beyond which the key is dealt out; fingerprints compared at once.
-HOT, CHUNK = 16_384, 2048
+#: Fingerprints under one key beyond which they are filed by the next of these numbers of blocks; fingerprints, and links, held at once.
+HOT, FINER, CHUNK, HELD = 16_384, (8, 12, 16), 1024, 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)
 
@@ -46,7 +47,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
     hashes = np.array([h(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     n = len(hashes)
+    if not n:
+        return 0
     lanes = np.zeros((-(-n // 255) * 255, 8), np.uint64)  # eight byte-wide counters a word, full after 255 rows
     lanes[:n] = hashes[:, None] >> _SHIFTS & _LANES
     counts = lanes.reshape(-1, 255, 8).sum(1).view(np.uint8).reshape(-1, 8, 8).sum(0, dtype=np.int64)  # by shift, byte
@@ -82,69 +90,79 @@ def block_keys(fp: F.Column, blocks: int, bits: int = BITS) -> F.Column:
     return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(chosen)])
 
 
-def _near(x: np.ndarray, bits: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs within ``bits`` of each other in x, or between x and ``other``."""
-    found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    y = x if other is None else other
-    for i in range(0, len(x), CHUNK):
-        for j in range(i if other is None else 0, len(y), CHUNK):
-            a, b = np.nonzero(np.bitwise_count(x[i : i + CHUNK, None] ^ y[None, j : j + CHUNK]) <= bits)
-            found_i.append(a + i)
-            found_j.append(b + j)
-    return np.concatenate(found_i), np.concatenate(found_j)
+class _Forest:
+    """Collects links; whenever ``HELD`` are held, only a spanning forest of them stays."""
 
+    def __init__(self) -> None:
+        self.a, self.b, self.held = [], [], 0
 
-def _forest(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    names, roots = spanning_roots(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
-    keep = names != roots
-    return pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(roots[keep])], ["a", "b"])
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > HELD:
+            self.thin()
 
+    def thin(self) -> None:
+        names, roots = spanning_roots(np.concatenate(self.a), np.concatenate(self.b))
+        keep = names != roots
+        self.a, self.b, self.held = [names[keep]], [roots[keep]], 0
 
-def _links(bits: int):
-    """For a task's rows (key, side, fp): a spanning forest of the links under each key.
+    def rows(self) -> pa.RecordBatch:
+        self.thin()
+        made = pa.RecordBatch.from_arrays([pa.array(self.a[0].view(np.int64)), pa.array(self.b[0].view(np.int64))], ["a", "b"])
+        self.a, self.b = [], []
+        return made
 
-    side 0: all pairs under the key; 1 and 2: pairs of a 1 with a 2.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), b.column("side").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not parts:
-            return
-        key, side, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        fp = fp.view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, side, fp = key[order], side[order], fp[order]
+def _near(x: np.ndarray, bits: int, forest: _Forest) -> None:
+    """Add links with the components of all pairs in x within ``bits``; what is linked already isn't looked at again."""
+    label = np.arange(len(x))  # the least place of each one's component so far
+    for i in range(0, len(x), CHUNK):
+        for j in range(i, len(x), CHUNK):
+            p, q = label[i : i + CHUNK, None], label[None, j : j + CHUNK]
+            a, b = np.nonzero((np.bitwise_count(x[i : i + CHUNK, None] ^ x[None, j : j + CHUNK]) <= bits) & (p != q))
+            if len(a):
+                names, roots = spanning_roots(label[a + i], label[b + j])
+                new = names != roots
+                forest.add(x[names[new]], x[roots[new]])
+                at = np.minimum(np.searchsorted(names, label), len(names) - 1)
+                label = np.where(names[at] == label, roots[at], label)
+
+
+def _links(bits: int):
+    """For rows (key, fp) sorted by key: a spanning forest of the links under each key; one group or batch in memory."""
+
+    def grouped(key: np.ndarray, fp: np.ndarray, forest: _Forest) -> None:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
-        sizes = ends - starts
-        a, b, held = [], [], 0
-        # small groups of one side: compare each row with its d-th next, for all groups at once
-        small = (sizes > 1) & (sizes <= 64) & (np.maximum.reduceat(side, starts) == 0)
-        left = np.concatenate([np.arange(s, e) for s, e in zip(starts[small], ends[small], strict=True)]) if small.any() else np.empty(0, np.int64)
+        small = ends - starts <= 64
+        # small groups: compare each row with its d-th next, for all groups at once
+        left = np.flatnonzero(np.repeat(small, ends - starts))
         for d in range(1, 64):
             left = left[left + d < len(key)]
             left = left[key[left] == key[left + d]]
             if not len(left):
                 break
             near = left[np.bitwise_count(fp[left] ^ fp[left + d]) <= bits]
-            a.append(fp[near])
-            b.append(fp[near + d])
-        for s, e in zip(starts[(sizes > 1) & ~small], ends[(sizes > 1) & ~small], strict=True):
-            x, one = fp[s:e], side[s:e]
-            if one.any():
-                x, y = x[one == 1], x[one == 2]
-                i, j = _near(x, bits, y)
-            else:
-                y = x
-                i, j = _near(x, bits)
-            a.append(x[i])
-            b.append(y[j])
-            held += len(i)
-            if held > 5_000_000:
-                yield _forest(a, b)
-                a, b, held = [], [], 0
-        if a:
-            yield _forest(a, b)
+            forest.add(fp[near], fp[near + d])
+        for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+            _near(fp[s:e], bits, forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, keys, fps = _Forest(), [], []
+        for b in batches:
+            key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
+            if cut or keys and len(key) and keys[-1][-1] != key[0]:
+                grouped(np.concatenate([*keys, key[:cut]]), np.concatenate([*fps, fp[:cut]]), forest)
+                keys, fps = [], []
+            keys.append(key[cut:])
+            fps.append(fp[cut:])
+        if keys and sum(map(len, keys)):
+            grouped(np.concatenate(keys), np.concatenate(fps), forest)
+        if forest.a:
+            yield forest.rows()
 
     return run
 
@@ -152,24 +170,21 @@ def _links(bits: int):
 def near_links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct`` column fp within ``bits``."""
     ship_package(distinct.sparkSession)
-    blocks = n_blocks(distinct.count(), bits)
-    keyed = distinct.select(F.explode(block_keys(F.col("fp"), blocks, bits)).alias("key"), "fp")
-    busy = keyed.groupBy("key").count().where(F.col("count") > hot)
-    if busy.isEmpty():
-        dealt = keyed.select("key", F.lit(0).alias("side"), "fp")
-    else:
-        busy = checkpointed(busy.select("key", F.ceil(F.col("count") / (hot // 2)).cast("int").alias("n")))
-        calm = keyed.join(busy, "key", "left_anti").select("key", F.lit(0).alias("side"), "fp")
-        chunked = keyed.join(busy, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
-        met = chunked.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        pairs = met.select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            "fp",
-        )
-        dealt = calm.unionByName(pairs)
-    n = max(shuffle_partitions(distinct), 1)
-    return dealt.repartition(n, "key").mapInArrow(_links(bits), "a long, b long")
+    blocks, links, n = n_blocks(distinct.count(), bits), None, max(shuffle_partitions(distinct), 1)
+    while True:
+        keyed = distinct.select(F.explode(block_keys(F.col("fp"), blocks, bits)).alias("key"), "fp")
+        finer = next((b for b in FINER if b > blocks), None)
+        busy = keyed.groupBy("key").count().where(F.col("count") > hot).select("key") if finer else None
+        full = busy is not None and not busy.isEmpty()
+        if full:
+            busy = checkpointed(busy)
+            distinct = checkpointed(keyed.join(busy, "key", "left_semi").select("fp").distinct())
+            keyed = keyed.join(busy, "key", "left_anti")
+        found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(bits), "a long, b long")
+        links = found if links is None else links.unionByName(found)
+        if not full:
+            return links
+        blocks = finer
 
 
 def _classes(rows: DataFrame, bits: int) -> DataFrame:
@@ -184,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     classes = _classes(rows, bits)
     firsts = rows.groupBy("fp").agg(F.min("id").alias("first")).join(classes, "fp")
-    named = classes.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    named = classes.join(checkpointed(firsts.groupBy("root").agg(F.min("first").alias("component_id"))), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,15 +1,22 @@
-"""One of each group of near-duplicates by the Jaccard similarity of word shingles.
+"""SimHash near-dedup at a similarity of word shingles: one of each group of texts that are linked.
 
 A text is the set of its runs of ``SHINGLE`` words (of all its words if they are fewer); texts whose sets have at least
-``SIMILAR`` of their union in common are linked, and links are followed. SimHash fingerprints can't find these: such
-texts are often 5 to 12 and more of 64 bits apart, and blocks for that many bits are too short to file by.
-
-Candidates share a band of ``ROWS`` of ``BANDS * ROWS`` minimum hashes: a pair at 0.8 shares none with probability
-(1 - 0.8^5)^25, below 5 in 100,000, a pair at 0.9 practically never. Every candidate is then verified on the sets
-themselves (32-bit hashes), so nothing below ``SIMILAR`` is linked. Bands with the same members are verified once, and a
-band with more than ``HOT`` members is dealt out as pairs of chunks: no group is dropped.
-
-Null texts have no words, like empty ones: all of them have the same, empty set. Repeated rows stand for one another.
+``SIMILAR`` of their union in common are linked, and links are followed.
+
+One 64-bit fingerprint can't find these: such texts are often 5 to 18 of 64 bits apart, and blocks for that many bits are too
+short to file by. So the fingerprint has ``BLOCKS`` times 64 bits. Each block is the SimHash of a sample of the set, its
+``ROWS`` least shingles under the block's own order; the samples of close texts are often equal, and then their blocks are. Texts
+that share a block are compared: by the Hamming distance of the SimHash of their whole sets (``FAR`` bits), then by the
+sets themselves (32-bit hashes), so nothing below ``SIMILAR`` is linked. A pair at 0.8 shares no block with probability
+(1 - 0.8^5)^25, below 5 in 100,000, a pair at 0.9 practically never; ``FAR`` is over five deviations beyond what 0.8 gives.
+A text has ``BLOCKS`` keys however many texts there are.
+
+Blocks with the same members are compared once. Under a block with more than ``HOT`` members, or ``HOT_BYTES`` of sets,
+all members are compared with the least; those linked to it needn't be compared with each other, and only the others meet
+all members, dealt out in chunks. So a group of copies costs in proportion to its size, and none is dropped.
+
+Null texts have no words, like empty ones: all of them have the same, empty set. Repeated rows stand for one another. An
+empty table gives an empty table, and the input may have columns of any name.
 """
 
 from __future__ import annotations
@@ -23,15 +30,17 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import checkpointed, fresh, map_batches, shuffle_partitions, text_or_empty
 from tidemill.llm.components import components
+from tidemill.llm.simhash import majority
 
-SHINGLE, SIMILAR, BANDS, ROWS, SEED = 5, 0.8, 25, 5, 11
-#: Members of one band beyond which it is dealt out.
-HOT = 4096
+SHINGLE, SIMILAR, BLOCKS, ROWS, FAR, SEED = 5, 0.8, 25, 5, 26, 11
+#: Members of one block, or bytes of their sets, beyond which it is dealt out.
+HOT, HOT_BYTES = 4096, 1 << 26
 _rng = np.random.default_rng(SEED)
 _PLACES = _rng.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_TIMES = _rng.integers(0, 2**31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _rng.integers(0, 2**32, (BANDS * ROWS, 1), np.uint32)
-_MIXED = _rng.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = _rng.integers(0, 2**31, (BLOCKS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _rng.integers(0, 2**32, (BLOCKS, 1), np.uint32)
+_BACK = np.array([pow(int(t), -1, 1 << 32) for t in _TIMES[:, 0]], np.uint32)[:, None]
+_OWN = _rng.integers(0, 2**63, BLOCKS, np.uint64)
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -55,16 +64,28 @@ def shingles(text: str) -> np.ndarray:
     return np.unique((_stirred(total) >> np.uint64(32)).astype(np.uint32))
 
 
-def bands(kept: np.ndarray) -> np.ndarray:
-    """A key for each band of the minimum hashes of a set."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+def samples(kept: np.ndarray) -> np.ndarray:
+    """For each block, the (at most ``ROWS``) shingles of a set that come first in the block's order."""
+    first = np.empty((BLOCKS, 0), np.uint32)
     for at in range(0, len(kept), 4096):
-        least = np.minimum(least, (kept[None, at : at + 4096] * _TIMES + _PLUS).min(1))
-    return _stirred((least.reshape(BANDS, ROWS).astype(np.uint64) * _MIXED).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        first = np.concatenate([first, kept[None, at : at + 4096] * _TIMES + _PLUS], axis=1)
+        if first.shape[1] > ROWS:
+            first = np.partition(first, ROWS - 1, axis=1)[:, :ROWS]
+    return (first - _PLUS) * _BACK
+
+
+def blocks(kept: np.ndarray) -> np.ndarray:
+    """The blocks of a set's fingerprint, each the SimHash of its sample, told apart by their numbers."""
+    if not len(kept):
+        return _stirred(_OWN)
+    hashes = _stirred(samples(kept).astype(np.uint64))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(BLOCKS, -1, 8), axis=2)
+    found = np.packbits(2 * bits.sum(1, dtype=np.int16) > hashes.shape[1], axis=1).view(np.uint64)[:, 0]
+    return _stirred(found ^ _OWN)
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(row, fp, keys, kept): a digest of the text's set, its band keys and the set itself."""
+    """(row, fp, sim, keys, kept): a digest of the text's set, its SimHash, its blocks and the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
@@ -72,11 +93,12 @@ def _sets(rows: DataFrame) -> DataFrame:
         for b in batches:
             kept = [shingles(t) for t in b.column("text").to_pylist()]
             fp = np.fromiter((h(k.tobytes(), SEED) for k in kept), np.uint64, len(kept)).view(np.int64)
-            keys = np.concatenate([bands(k) for k in kept]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp), lists, pa.array([k.tobytes() for k in kept], pa.binary())], ["row", "fp", "keys", "kept"])
+            sim = np.fromiter((majority(_stirred(k.astype(np.uint64))) for k in kept), np.uint64, len(kept)).view(np.int64)
+            keys = np.concatenate([blocks(k) for k in kept]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BLOCKS), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp), pa.array(sim), lists, pa.array([k.tobytes() for k in kept], pa.binary())], ["row", "fp", "sim", "keys", "kept"])
 
-    return map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, keys array<long>, kept binary")
+    return map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, sim long, keys array<long>, kept binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -89,64 +111,84 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common >= SIMILAR * (few + many - common)
 
 
-def _forest(fps: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a group; between the sides 1 and 2 only, if it has sides."""
-    root = list(range(len(fps)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    found = []
-    for i in range(len(fps)):
-        for j in range(i):
-            if (not sides[i] or sides[i] != sides[j]) and find(i) != find(j) and similar(sets[i], sets[j]):
-                root[find(i)] = find(j)
+def _forest(fps: list[int], sims: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a group; rows of the same side, 1 or 2, aren't compared."""
+    sim, side, found = np.array(sims, np.int64).view(np.uint64), np.array(sides), []
+    size, label = np.fromiter(map(len, sets), np.int64, len(sets)), np.arange(len(sets))
+    for i in range(1, len(sets)):
+        near = (np.bitwise_count(sim[:i] ^ sim[i]) <= FAR) & (label[:i] != label[i]) & ((side[:i] != side[i]) | (side[i] == 0))
+        left = np.flatnonzero(near & (np.minimum(size[:i], size[i]) >= SIMILAR * np.maximum(size[:i], size[i])))
+        k = 0
+        while k < len(left):
+            j, k = int(left[k]), k + 1
+            if similar(sets[i], sets[j]):
+                label[label == label[i]] = label[j]
                 found.append((fps[i], fps[j]))
+                left, k = left[k:][label[left[k:]] != label[i]], 0
     return found
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (key, side, fp, kept) sorted by key: links (a, b), one group in memory at a time."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (key, side, fp, sim, kept) sorted by key: links (a, b), one group in memory at a time."""
 
-    def closed(group: tuple[list, list, list]) -> Iterator[pa.RecordBatch]:
+    def closed(group: tuple[list, list, list, list]) -> Iterator[pa.RecordBatch]:
         if links := _forest(*group):
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    last, group = None, ([], [], [])
+    last, group = None, ([], [], [], [])
     for batch in batches:
-        for key, side, fp, kept in zip(*[batch.column(c).to_pylist() for c in ("key", "side", "fp", "kept")], strict=True):
+        for key, *row, kept in zip(*[batch.column(c).to_pylist() for c in ("key", "fp", "sim", "side", "kept")], strict=True):
             if key != last:
                 yield from closed(group)
-                last, group = key, ([], [], [])
-            group[0].append(fp)
-            group[1].append(side)
-            group[2].append(np.frombuffer(kept, np.uint32))
+                last, group = key, ([], [], [], [])
+            for values, x in zip(group, (*row, np.frombuffer(kept, np.uint32)), strict=True):
+                values.append(x)
     yield from closed(group)
 
 
-def similar_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links (a, b) with the components of all verified candidates among the rows (fp, keys, kept) of ``distinct``."""
-    keyed = distinct.select(F.explode("keys").alias("key"), "fp")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("m")).where("n > 1")
-    groups = checkpointed(groups.groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key", "n"))
-    met = checkpointed(keyed.join(groups, "key"))
-    calm = met.where(F.col("n") <= hot).select("key", F.lit(0).alias("side"), "fp")
-    chunked = met.where(F.col("n") > hot).withColumn("chunks", F.ceil(F.col("n") / (hot // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
-    pairs = chunked.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-        "fp",
-    )
-    dealt = calm.unionByName(pairs).join(distinct.select("fp", "kept"), "fp")
+def _with_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds linked: whether a row's set is similar to ``least_kept``."""
+    for b in batches:
+        linked = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(b.column("kept").to_pylist(), b.column("least_kept").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "fp", "least", "size")), pa.array(linked, pa.bool_())], ["key", "fp", "least", "size", "linked"])
+
+
+def similar_links(distinct: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Links (a, b) with the components of all links among rows (fp, sim, keys, kept) of ``distinct`` that share a block."""
+    sets = distinct.select("fp", "sim", "kept")
+    keyed = distinct.select(F.explode("keys").alias("key"), "fp", F.length("kept").cast("long").alias("size"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least")).where("n > 1")
+    groups = checkpointed(groups.groupBy("n", "x", "least").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")))
+    met = checkpointed(keyed.join(groups.select("key", "least", (F.greatest(F.col("n") / hot, F.col("bytes") / hot_bytes) > 1).alias("busy")), "key"))
+    dealt = met.where("not busy").select("key", F.lit(0).alias("side"), "fp")
+    busy = met.where("busy")
+    links = None
+    if not busy.isEmpty():
+        least = sets.select(F.col("fp").alias("least"), F.col("kept").alias("least_kept"))
+        faced = busy.join(sets, "fp").join(busy.select("least").distinct().join(least, "least"), "least")
+        judged = checkpointed(faced.select("key", "fp", "least", "size", "kept", "least_kept").mapInArrow(_with_least, "key long, fp long, least long, size long, linked boolean"))
+        links = judged.where("linked and fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+        chunks = lambda which: F.ceil(F.greatest(F.count_if(which) * 2 / hot, F.sum(F.when(which, F.col("size")).otherwise(0)) * 2 / hot_bytes)).cast("int")
+        sizes = judged.groupBy("key").agg(chunks(~F.col("linked")).alias("others"), chunks(F.col("linked")).alias("linked_ones")).where("others > 0")
+        sized = judged.join(checkpointed(sizes), "key")
+        linked = sized.where("linked").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("linked_ones")).cast("int"))
+        others = sized.where("not linked").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("others")).cast("int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("met")
+        among = others.select("key", "fp", "own", each("others")).select(
+            F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met")).alias("key"),
+            F.when(F.col("own") == F.col("met"), 0).when(F.col("own") < F.col("met"), 1).otherwise(2).alias("side"),
+            "fp",
+        )
+        one = others.select("key", "fp", "own", each("linked_ones")).select(F.xxhash64("key", "own", "met", F.lit("both")).alias("key"), F.lit(1).alias("side"), "fp")
+        two = linked.select("key", "fp", "own", each("others")).select(F.xxhash64("key", "met", "own", F.lit("both")).alias("key"), F.lit(2).alias("side"), "fp")
+        dealt = dealt.unionByName(among).unionByName(one).unionByName(two)
     n = max(shuffle_partitions(distinct), 1)
-    return dealt.select("key", "side", "fp", "kept").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verified, "a long, b long")
+    compared = dealt.join(sets, "fp").select("key", "fp", "sim", "side", "kept").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared, "a long, b long")
+    return compared if links is None else compared.unionByName(links)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: that of the least id, one of equal rows.
 
     A row without an id stands only for a component that has no other.
@@ -155,8 +197,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     texts = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), digest.alias("digest")).alias("row"), text_or_empty(text_col))
     rows = checkpointed(_sets(texts))
     firsts = checkpointed(rows.groupBy("fp").agg(F.min("row").alias("row")))
-    distinct = checkpointed(rows.join(firsts.select("row"), "row", "left_semi").dropDuplicates(["fp"]).select("fp", "keys", "kept"))
-    found = components(similar_links(distinct, hot))
+    distinct = checkpointed(rows.join(firsts.select("row"), "row", "left_semi").dropDuplicates(["fp"]).select("fp", "sim", "keys", "kept"))
+    found = components(similar_links(distinct, hot, hot_bytes))
     named = firsts.join(found, firsts.fp == found.v, "left").select("row", F.coalesce("component", "fp").alias("root"))
     chosen = named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("_id"), F.col("row.digest").alias("_digest"))
     name = fresh(docs, "_text_digest")

@@ -210,7 +210,7 @@ def repeated_spans(texts: DataFrame, keys: DataFrame, length: int = LENGTH, hot:
     found, drop = stored(map_batches(texts.select("tkey", "text"), _find_anchors(length), "anchor long, digest long, tkey binary, place long"))
     # anchors that occur in two places; copies of a text give the same rows and count once
     where = F.xxhash64("digest", "tkey", "place")
-    several = found.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("anchor")
+    several = checkpointed(found.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("anchor"))
     found = checkpointed(found.join(several, "anchor").groupBy("tkey", "place").agg(F.min("anchor").alias("anchor"), F.min("digest").alias("digest")))
     drop()
     first, span, after = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)), F.col("place").bitwiseAND(F.lit(0xFFF))
