@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,32 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(folder), lambda: files.delete(path, True)
 
 
+#: A sieve has between so many bits, 8 MB at most, and otherwise 16 for each hash.
+SIEVE_BITS = 16, 26
+
+
+def sieve(hashes: DataFrame) -> Callable[[F.Column], F.Column]:
+    """Whether a long may be among the only column of ``hashes``: false is certain, true is wrong for about one in 16.
+
+    It only saves shuffles: what it lets through has to be joined. Beyond four million hashes it lets more through.
+    """
+    spark, name = hashes.sparkSession, hashes.columns[0]
+    low, high = SIEVE_BITS
+    bits = 1 << min(max((16 * hashes.count()).bit_length(), low), high)
+    place = F.col(name).bitwiseAND(F.lit(bits - 1))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 AS INT))")).alias("set")).toPandas()
+    made = np.zeros(bits >> 6, np.int64)
+    made[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(made)
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64) & (bits - 1)
+        return pd.Series(shared.value[at >> 6] >> (at & 63) & 1 == 1)
+
+    return among
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

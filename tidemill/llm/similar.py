@@ -15,6 +15,9 @@ Blocks with the same members are compared once. Under a block with more than ``H
 all members are compared with the least; those linked to it needn't be compared with each other, and only the others meet
 all members, dealt out in chunks. So a group of copies costs in proportion to its size, and none is dropped.
 
+Sets are as large as the texts, so they are made a second time, only for texts that share a block, and shuffled only then.
+In the end only rows that may have to go are joined with those that stay; sieves of bounded size tell which.
+
 Null texts have no words, like empty ones: all of them have the same, empty set. Repeated rows stand for one another. An
 empty table gives an empty table, and the input may have columns of any name.
 """
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, fresh, map_batches, shuffle_partitions, text_or_empty
+from tidemill.llm.common import checkpointed, fresh, map_batches, shuffle_partitions, sieve, text_or_empty
 from tidemill.llm.components import components
 from tidemill.llm.simhash import majority
 
@@ -84,21 +87,35 @@ def blocks(kept: np.ndarray) -> np.ndarray:
     return _stirred(found ^ _OWN)
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """(row, fp, sim, keys, kept): a digest of the text's set, its SimHash, its blocks and the set itself."""
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """(row, fp, sim, keys): a digest of the text's set, its SimHash and its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as h
-
         for b in batches:
             kept = [shingles(t) for t in b.column("text").to_pylist()]
-            fp = np.fromiter((h(k.tobytes(), SEED) for k in kept), np.uint64, len(kept)).view(np.int64)
             sim = np.fromiter((majority(_stirred(k.astype(np.uint64))) for k in kept), np.uint64, len(kept)).view(np.int64)
             keys = np.concatenate([blocks(k) for k in kept]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BLOCKS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp), pa.array(sim), lists, pa.array([k.tobytes() for k in kept], pa.binary())], ["row", "fp", "sim", "keys", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(_digests(kept)), pa.array(sim), lists], ["row", "fp", "sim", "keys"])
+
+    return map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, sim long, keys array<long>")
+
 
-    return map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, sim long, keys array<long>, kept binary")
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    from xxhash import xxh64_intdigest as h
+
+    return np.fromiter((h(k.tobytes(), SEED) for k in sets), np.uint64, len(sets)).view(np.int64)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(fp, kept): digest and set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [shingles(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(kept)), pa.array([k.tobytes() for k in kept], pa.binary())], ["fp", "kept"])
+
+    return map_batches(texts, run, "fp long, kept binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -154,13 +171,19 @@ def _with_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "fp", "least", "size")), pa.array(linked, pa.bool_())], ["key", "fp", "least", "size", "linked"])
 
 
-def similar_links(distinct: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """Links (a, b) with the components of all links among rows (fp, sim, keys, kept) of ``distinct`` that share a block."""
-    sets = distinct.select("fp", "sim", "kept")
-    keyed = distinct.select(F.explode("keys").alias("key"), "fp", F.length("kept").cast("long").alias("size"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least")).where("n > 1")
-    groups = checkpointed(groups.groupBy("n", "x", "least").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")))
-    met = checkpointed(keyed.join(groups.select("key", "least", (F.greatest(F.col("n") / hot, F.col("bytes") / hot_bytes) > 1).alias("busy")), "key"))
+def shared_blocks(distinct: DataFrame) -> DataFrame:
+    """(key, fp, n, least): the members of each block that two or more rows (fp, keys) share, once for equal memberships."""
+    keyed = distinct.select(F.explode("keys").alias("key"), "fp")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least")).where("n > 1")
+    groups = checkpointed(groups.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", "n", "least"))
+    return checkpointed(keyed.join(groups, "key"))
+
+
+def similar_links(met: DataFrame, sets: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Links (a, b) with the components of all links among the rows of ``sets`` (fp, sim, kept) that meet under a key."""
+    met = met.join(sets.select("fp", F.length("kept").cast("long").alias("size")), "fp")
+    heavy = checkpointed(met.groupBy("key").agg(F.max("n").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > hot) | (F.col("bytes") > hot_bytes)).select("key", F.lit(True).alias("busy")))
+    met = checkpointed(met.join(heavy, "key", "left").select("key", "fp", "least", "size", F.coalesce("busy", F.lit(False)).alias("busy")))
     dealt = met.where("not busy").select("key", F.lit(0).alias("side"), "fp")
     busy = met.where("busy")
     links = None
@@ -183,7 +206,7 @@ def similar_links(distinct: DataFrame, hot: int = HOT, hot_bytes: int = HOT_BYTE
         one = others.select("key", "fp", "own", each("linked_ones")).select(F.xxhash64("key", "own", "met", F.lit("both")).alias("key"), F.lit(1).alias("side"), "fp")
         two = linked.select("key", "fp", "own", each("others")).select(F.xxhash64("key", "met", "own", F.lit("both")).alias("key"), F.lit(2).alias("side"), "fp")
         dealt = dealt.unionByName(among).unionByName(one).unionByName(two)
-    n = max(shuffle_partitions(distinct), 1)
+    n = max(shuffle_partitions(sets), 1)
     compared = dealt.join(sets, "fp").select("key", "fp", "sim", "side", "kept").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared, "a long, b long")
     return compared if links is None else compared.unionByName(links)
 
@@ -193,15 +216,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
     A row without an id stands only for a component that has no other.
     """
-    digest = F.xxhash64(text_or_empty(text_col))
-    texts = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), digest.alias("digest")).alias("row"), text_or_empty(text_col))
-    rows = checkpointed(_sets(texts))
-    firsts = checkpointed(rows.groupBy("fp").agg(F.min("row").alias("row")))
-    distinct = checkpointed(rows.join(firsts.select("row"), "row", "left_semi").dropDuplicates(["fp"]).select("fp", "sim", "keys", "kept"))
-    found = components(similar_links(distinct, hot, hot_bytes))
-    named = firsts.join(found, firsts.fp == found.v, "left").select("row", F.coalesce("component", "fp").alias("root"))
-    chosen = named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("_id"), F.col("row.digest").alias("_digest"))
-    name = fresh(docs, "_text_digest")
-    digested = docs.withColumn(name, digest)
-    same = digested[id_col].eqNullSafe(chosen["_id"]) & (digested[name] == chosen["_digest"])
-    return digested.join(chosen, same, "left_semi").dropDuplicates([id_col, name]).select(docs.columns)
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("digest"))
+    texts = docs.select(row.alias("row"), text_or_empty(text_col)).withColumn("hash", F.xxhash64("row"))
+    rows = checkpointed(_fingerprints(texts.select("row", "text")))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min("row").alias("row"), F.first("sim").alias("sim"), F.first("keys").alias("keys")))
+    met = shared_blocks(distinct)
+    needed = checkpointed(distinct.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "sim", F.xxhash64("row").alias("hash")))
+    made = _sets(texts.where(sieve(needed.select("hash"))("hash")).select("text"))
+    sets = checkpointed(needed.select("fp", "sim").join(made.dropDuplicates(["fp"]), "fp"))
+    found = components(similar_links(met, sets, hot, hot_bytes))
+    named = distinct.select("fp", "row").join(found, distinct.fp == found.v, "left").select("row", F.coalesce("component", "fp").alias("root"))
+    chosen = checkpointed(named.groupBy("root").agg(F.min("row").alias("row")).select("row"))
+    # rows that don't stay, and repeats of rows that do
+    times = rows.groupBy("row").count().join(chosen.withColumn("stays", F.lit(True)), "row", "left")
+    unsure = sieve(checkpointed(times.where("stays is null or count > 1").select(F.xxhash64("row").alias("hash"))))
+    name = fresh(docs, "_row")
+    kept = docs.withColumn(name, row)
+    one = kept.where(unsure(F.xxhash64(name))).join(chosen.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name])
+    return kept.where(~unsure(F.xxhash64(name))).unionByName(one).select(docs.columns)
