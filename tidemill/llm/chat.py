@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts.
 
-A visitor flattens the parts of a turn in order: text is escaped, and image, audio and document parts become numbered
-placeholders that record the attachment and the tokens it expands to. The template is
+A visitor flattens the parts of a turn in order: image, audio and document parts become numbered placeholders that record
+the attachment and the tokens it expands to, and all text between two of them is joined and then escaped, so that parts
+can't make up a control string together. The template is
 
     <|turn|>role<|body|>content<|end|>\\n
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.common import fresh
 from tidemill.session import ship_package
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
@@ -50,6 +52,7 @@ class PartVisitor:
 
     def __init__(self) -> None:
         self.flat: list[str] = []
+        self.text: list[str] = []
         self.attachments: list[dict] = []
 
     def visit(self, part) -> None:
@@ -60,7 +63,12 @@ class PartVisitor:
         method(part)
 
     def visit_text(self, part) -> None:
-        self.flat.append(escape(part["text"] or ""))
+        self.text.append(part["text"] or "")
+
+    def close_text(self) -> None:
+        """Escape the text since the last placeholder."""
+        self.flat.append(escape("".join(self.text)))
+        self.text.clear()
 
     def visit_image(self, part) -> None:
         self._attach("image", part)
@@ -72,6 +80,7 @@ class PartVisitor:
         self._attach("document", part)
 
     def _attach(self, kind: str, part) -> None:
+        self.close_text()
         units = part["units"]
         tokens = EXPANDS[kind] * (1 if units is None or units != units else int(units))
         self.attachments.append({"kind": kind, "uri": part["uri"], "place": len(self.attachments), "tokens": tokens})
@@ -84,6 +93,7 @@ def render_turn(role: str | None, parts) -> tuple[str, int, int, list[dict], int
     for part in parts if parts is not None else []:
         if part is not None:
             visitor.visit(part)
+    visitor.close_text()
     content, head = "".join(visitor.flat), f"{TURN}{escape(role or '')}{BODY}"
     loss = len(content) if role == "assistant" else 0
     return head + content + END, len(head), loss, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)
@@ -112,7 +122,9 @@ def format_turns(turns: DataFrame, role_col: str = "role", parts_col: str = "par
 
     made = render(F.col(role_col).cast("string"), F.col(parts_col).cast(PARTS))
     names = ["segment", "loss_start", "loss_chars", "attachments", "expanded_tokens"]
-    return turns.drop(*names).withColumn("_made", made).select("*", *[F.col(f"_made.{n}").alias(n) for n in names]).drop("_made")
+    rest = turns.drop(*names)
+    own = fresh(rest, "_made")
+    return rest.withColumn(own, made).select(*rest.columns, *[F.col(f"{own}.{n}").alias(n) for n in names])
 
 
 def _ordered(turns: DataFrame, columns: list[str]) -> DataFrame:
