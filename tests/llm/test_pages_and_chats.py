@@ -187,3 +187,23 @@ def test_held_out_hosts(spark, family):
     good = [r for r in found if not any(t in r.host for t in urls.BAD_TERMS)]
     assert len(unseen) > 10 and sum(r.verdict == "block" for r in unseen) >= 0.9 * len(unseen)
     assert sum(r.verdict == "allow" for r in good) >= 0.9 * len(good)
+
+
+def test_deep_nesting_in_bounded_memory():
+    import tracemalloc
+
+    page = "<div>x" * 45_000
+    tracemalloc.start()
+    _, blocks = templates.parse(page)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 45_000 and most < 100e6
+
+
+@pytest.mark.parametrize("n", [64, 65, 66, 130])
+def test_unmarked_pages_of_any_number_lose_their_template(n):
+    r = random.Random(n)
+    words = lambda k: " ".join(r.choice("alpha beta gamma delta rho tau mu nu xi pi".split()) + str(r.randrange(999)) for _ in range(k))
+    bodies = [words(60) for _ in range(n)]
+    pages = [f"<div>Our shop</div><div>Home and garden</div><p>{b}</p><div>All rights kept</div><div>Write to us</div>" for b in bodies]
+    assert templates.extract_group(pages) == bodies

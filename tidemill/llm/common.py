@@ -6,8 +6,6 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,30 +84,24 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(folder), lambda: files.delete(path, True)
 
 
-#: A sieve has between so many bits, 8 MB at most, and otherwise 16 for each hash.
+#: A sieve has 2 ** 16 to 2 ** 26 bits (a million words of 64), and otherwise 16 for each hash.
 SIEVE_BITS = 16, 26
 
 
-def sieve(hashes: DataFrame) -> Callable[[F.Column], F.Column]:
-    """Whether a long may be among the only column of ``hashes``: false is certain, true is wrong for about one in 16.
+def sift(df: DataFrame, name: str, hashes: DataFrame, into: str) -> DataFrame:
+    """Add boolean ``into``: whether the long ``name`` may be among ``hashes`` (its only column); null never is.
 
-    It only saves shuffles: what it lets through has to be joined. Beyond four million hashes it lets more through.
+    False is certain, true is wrong for about one in 16, and for more beyond four million hashes. So it only saves
+    shuffles: what it lets through has to be joined. The bits are a table of words of bounded size, which is broadcast.
     """
-    spark, name = hashes.sparkSession, hashes.columns[0]
     low, high = SIEVE_BITS
-    bits = 1 << min(max((16 * hashes.count()).bit_length(), low), high)
-    place = F.col(name).bitwiseAND(F.lit(bits - 1))
-    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 AS INT))")).alias("set")).toPandas()
-    made = np.zeros(bits >> 6, np.int64)
-    made[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(made)
-
-    @F.pandas_udf("boolean")
-    def among(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64) & (bits - 1)
-        return pd.Series(shared.value[at >> 6] >> (at & 63) & 1 == 1)
-
-    return among
+    bits, column = 1 << min(max((16 * hashes.count()).bit_length(), low), high), hashes.columns[0]
+    word, place = fresh(df, "_word"), fresh(df, "_bits")
+    at = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit(bits - 1)), 6)
+    words = hashes.groupBy(at(column).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))")).alias(place))
+    met = df.withColumn(word, at(name)).join(F.broadcast(checkpointed(words)), word, "left")
+    held = F.expr(f"shiftright({place}, cast({name} & 63 AS INT)) & 1 = 1")
+    return met.withColumn(into, F.coalesce(held, F.lit(False))).drop(word, place)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

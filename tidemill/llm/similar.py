@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, fresh, map_batches, shuffle_partitions, sieve, text_or_empty
+from tidemill.llm.common import checkpointed, fresh, map_batches, shuffle_partitions, sift, text_or_empty
 from tidemill.llm.components import components
 from tidemill.llm.simhash import majority
 
@@ -222,15 +222,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("row").alias("row"), F.first("sim").alias("sim"), F.first("keys").alias("keys")))
     met = shared_blocks(distinct)
     needed = checkpointed(distinct.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "sim", F.xxhash64("row").alias("hash")))
-    made = _sets(texts.where(sieve(needed.select("hash"))("hash")).select("text"))
+    made = _sets(sift(texts, "hash", needed.select("hash"), "shares").where("shares").select("text"))
     sets = checkpointed(needed.select("fp", "sim").join(made.dropDuplicates(["fp"]), "fp"))
     found = components(similar_links(met, sets, hot, hot_bytes))
     named = distinct.select("fp", "row").join(found, distinct.fp == found.v, "left").select("row", F.coalesce("component", "fp").alias("root"))
     chosen = checkpointed(named.groupBy("root").agg(F.min("row").alias("row")).select("row"))
     # rows that don't stay, and repeats of rows that do
     times = rows.groupBy("row").count().join(chosen.withColumn("stays", F.lit(True)), "row", "left")
-    unsure = sieve(checkpointed(times.where("stays is null or count > 1").select(F.xxhash64("row").alias("hash"))))
-    name = fresh(docs, "_row")
-    kept = docs.withColumn(name, row)
-    one = kept.where(unsure(F.xxhash64(name))).join(chosen.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name])
-    return kept.where(~unsure(F.xxhash64(name))).unionByName(one).select(docs.columns)
+    unsure = checkpointed(times.where("stays is null or count > 1").select(F.xxhash64("row").alias("hash")))
+    own, hashed, may_go = fresh(docs, "_row"), fresh(docs, "_row_hash"), fresh(docs, "_may_go")
+    rated = sift(docs.withColumn(own, row).withColumn(hashed, F.xxhash64(own)), hashed, unsure, may_go)
+    one = rated.where(F.col(may_go)).join(chosen.withColumnRenamed("row", own), own, "left_semi").dropDuplicates([own])
+    return rated.where(~F.col(may_go)).unionByName(one).select(docs.columns)

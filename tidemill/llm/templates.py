@@ -1,14 +1,15 @@
 """Main text of web pages by template deduction over pages of the same host.
 
-A page becomes a sequence of tokens: opening tags, named by their path, and whole text blocks. Over a group of pages of
+A page becomes a sequence of tokens: opening tags, named by their path, and whole text blocks. (A
+digest stands for what is over ``PATH_CHARS`` of a path, so that deep nesting takes no more memory.) Over a group of pages of
 one host, tokens with the same occurrence vector form a class; a class of enough tokens and pages is valid if its tokens
 keep one order in every page and no two valid classes' spans cross, so that classes nest into a template. Blocks that
 belong to the template are its constant text; what is left between template tokens are the slots. Extracted are the slots
 of the main region: of the article or main element if the page has one, else of all slots that aren't mostly links, and
 never of menus, headers, footers, side bars, notices, adverts, forms or comments, which tags, classes and roles name.
 
-Hosts with many pages are split by a hash into groups of about ``GROUP`` pages; what says so is a table of those hosts,
-at most ``BUSY_HOSTS`` of them whatever the input, which is broadcast. Within a group, a page that shares a long block and
+Hosts with more than ``GROUP`` pages are split by a hash into shards of about so many, and a shard that got more into equal
+groups; what says so is a table of those hosts, which Spark broadcasts only if it is small. Within a group, a page that shares a long block and
 more than half of its words with an earlier one is a copy and doesn't count in the deduction, so that copies of an article
 don't turn it into a template. Small groups have no template.
 
@@ -20,19 +21,21 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import checkpointed
 from tidemill.session import ship_package
 
-GROUP, BUSY_HOSTS = 64, 500_000
+GROUP = 64
 #: A template class has at least so many tokens, in at least so many distinct pages and this part of them.
 MIN_TOKENS, MIN_PAGES, MIN_PART = 3, 4, 0.5
 #: Longer blocks are never template text.
-TEMPLATE_WORDS, LONG_BLOCK = 40, 12
+TEMPLATE_WORDS, LONG_BLOCK, PATH_CHARS = 40, 12, 200
 
 MARKUP = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)"
@@ -129,6 +132,8 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         path, boiler, main = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, False)
         boiler = boiler or is_boilerplate(tag, m["attrs"], main)
         path = f"{path}/{tag}"
+        if len(path) > PATH_CHARS:
+            path = blake2b(path.encode(), digest_size=9).hexdigest()
         stack.append((tag, path, boiler, main or tag in MAIN and not boiler))
         tags.append(path)
     flush()
@@ -218,9 +223,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     counts = rows.groupBy("host").count()
-    busy_from = max(GROUP, rows.count() // BUSY_HOSTS)
-    busy = counts.where(F.col("count") > busy_from).select("host", F.ceil(F.col("count") / GROUP).alias("shards"))
-    dealt = rows.join(F.broadcast(busy), "host", "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))))
+    busy = counts.where(F.col("count") > GROUP).select("host", F.ceil(F.col("count") / GROUP).alias("shards"))
+    dealt = rows.join(checkpointed(busy), "host", "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
