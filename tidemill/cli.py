@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     again.add_argument("staged")
     again.add_argument("live")
     again.add_argument("--slices", type=int, default=16)
+    again.add_argument("--speed-up", type=int, default=replay.SPEED_UP, help="how much faster than event time")
     return top
 
 
@@ -62,8 +63,26 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return q.published_users(q.active_users(activity, *windows[args.granularity]))
 
 
+#: Granularities by command and kind of window; a friendship count has no rollup.
+CHOICES = {
+    ("q1", "tumbling"): ("daily", "weekly", "all"),
+    ("q1", "sliding"): ("daily", "weekly", "all"),
+    **{(c, w): ("hourly", "daily", "weekly") for c in ("q2", "q3") for w in ("tumbling", "sliding")},
+    **{(c, "rollup"): ("daily", "weekly") for c in ("q2", "q3")},
+}
+
+
+def checked(argv: list[str] | None = None) -> argparse.Namespace:
+    """The arguments; choices that don't go together end with a message."""
+    top = parser()
+    args = top.parse_args(argv)
+    if args.command in ("q1", "q2", "q3") and args.granularity not in (fit := CHOICES.get((args.command, args.window), ())):
+        top.error(f"{args.command} has no {args.window} window that is {args.granularity}; there is {', '.join(fit) or 'none'}")
+    return args
+
+
 def main(argv: list[str] | None = None) -> None:
-    args = parser().parse_args(argv)
+    args = checked(argv)
     spark = session.build()
     if args.command == "dump":
         if args.servers:
@@ -72,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
             files.show_lines(spark, args.path, args.rows)
     elif args.command == "replay":
         replay.write_slices(spark.read.parquet(args.path), args.staged, args.slices)
-        for part in replay.release(args.staged, args.live, [0] * args.slices):
+        for part in replay.release(args.staged, args.live, replay.slice_gaps(spark.read.parquet(args.staged)), args.speed_up):
             print(part)
     elif args.output:
         sinks.write(run(spark, args), args.output, args.format)

@@ -187,7 +187,7 @@ def sql() -> dict[str, str]:
         # a reply with a pipe in its text has the seven fields of a comment on a post
         f" UNION ALL SELECT {MS}, event_id, user_id, 'a', 'b', true, {K} FROM events WHERE event_id % 7 = 4 AND event_type = 'error'",
         "parse_posts": f"SELECT {MS} AS ts, event_id AS post_id, user_id, CASE WHEN event_id % 7 = 3 THEN '' ELSE event_type END AS content, 'user ' || user_id AS user_name FROM events WHERE event_id % 7 NOT IN (1, 2, 4)",
-        "parse_unchecked": f"SELECT {MS} AS ts, user_id FROM events WHERE event_id % 7 > 4",
+        "parse_unchecked": f"SELECT {MS} AS ts, user_id FROM events",
         "filter_post_comments": f"WITH {COMMENTS} SELECT ts, comment_id, parent_id FROM comments WHERE is_post_comment",
         "union_activity": f"WITH {ACTIVITY} SELECT user_id, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c FROM activity GROUP BY 1",
         "union_granularities": labelled,

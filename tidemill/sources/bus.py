@@ -38,7 +38,7 @@ def encoded(df: DataFrame, kind: str, ts: str = "ts") -> DataFrame:
     from pyspark.sql.avro.functions import to_avro
 
     _require(df.sparkSession)
-    return df.select(F.col(ts).cast("string").alias("key"), to_avro(F.struct(*df.columns), avro(kind)).alias("value"))
+    return df.select(F.unix_millis(F.col(ts).cast("timestamp")).cast("string").alias("key"), to_avro(F.struct(*df.columns), avro(kind)).alias("value"))
 
 
 def topic(spark: SparkSession, servers: str, name: str, streaming: bool = True) -> DataFrame:

@@ -13,8 +13,8 @@ SPEED_UP = 10_000_000
 
 
 def pause_ms(gap_ms: int, speed_up: int = SPEED_UP) -> int:
-    """Milliseconds to wait for a gap between events: whole milliseconds after division, one more for a rest."""
-    return max(0, -(-gap_ms // speed_up))
+    """Milliseconds to wait for a gap between events: whole milliseconds after division, a rest is dropped."""
+    return max(0, gap_ms // speed_up)
 
 
 def write_slices(df: DataFrame, folder: str, slices: int, ts: str = "ts") -> None:
@@ -32,9 +32,7 @@ def release(staged: str, live: str, gaps_ms: list[int], speed_up: int = SPEED_UP
         yield to
 
 
-def slice_gaps(df: DataFrame, slices: int, ts: str = "ts") -> DataFrame:
-    """Event-time gap in milliseconds between consecutive rows of a small, ordered set of slice starts."""
-    starts = df.select(F.spark_partition_id().alias("part"), ts).groupBy("part").agg(F.min(ts).alias("start"))
-    rows = [r.start for r in starts.orderBy("start").collect()][: slices + 1]
-    gaps = [(int((b - a).total_seconds() * 1000),) for a, b in zip(rows, rows[1:], strict=False)]
-    return df.sparkSession.createDataFrame(gaps, "gap_ms bigint")
+def slice_gaps(staged: DataFrame, ts: str = "ts") -> list[int]:
+    """Event-time gaps in milliseconds between the first rows of consecutive staged files (a row a file)."""
+    starts = staged.groupBy(F.input_file_name().alias("part")).agg(F.min(ts).alias("start")).orderBy("part").collect()
+    return [int((b.start - a.start).total_seconds() * 1000) for a, b in zip(starts, starts[1:], strict=False)]

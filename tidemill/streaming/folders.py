@@ -14,5 +14,9 @@ def _own(app: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in tests, one made on this machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own(spark.sparkContext.applicationId)
+    """The cluster's checkpoint folder; where none is set and all runs on this machine, as in tests, one made here."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own(spark.sparkContext.applicationId)

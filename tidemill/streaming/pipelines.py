@@ -71,12 +71,13 @@ def top_k_list(scores: DataFrame, window: Column, id_col: str, columns: tuple[st
     return best.select("window", F.posexplode("best").alias("pos", "row")).select("window", (F.col("pos") + 1).alias("rank"), "row.*")
 
 
-def _events(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", "0 seconds")
+def _events(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Events whose watermark stays ``delay`` behind the latest; rows behind the watermark are late and dropped."""
+    return events.withWatermark("ts", delay)
 
 
-def friendships_daily(events: DataFrame) -> DataFrame:
-    return counters.hour_counters(first_friendships(tables.friendships(_events(events))))
+def friendships_daily(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    return counters.hour_counters(first_friendships(tables.friendships(_events(events, delay))))
 
 
 def friendships_all_time(events: DataFrame) -> DataFrame:
@@ -91,15 +92,15 @@ def all_time_of(pairs: DataFrame) -> DataFrame:
     return made.where("ts is not null")
 
 
-def posts_hourly(events: DataFrame) -> DataFrame:
-    hits = routing.post_comments(tables.comments(_events(events))).select("ts", F.col("parent_id").alias("post_id"))
+def posts_hourly(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    hits = routing.post_comments(tables.comments(_events(events, delay))).select("ts", F.col("parent_id").alias("post_id"))
     scores = hits.groupBy(tumbling(F.col("ts"), HOUR).alias("window"), "post_id").agg(F.count("*").alias("score"), F.max("ts").alias("last_ts"))
     best = top_k_list(scores, F.col("window"), "post_id")
     return best.select(F.col("window.start").alias("window_start"), F.col("rank").cast("int"), "post_id", F.col("score").alias("num_comments"))
 
 
-def posts_daily_rollup(events: DataFrame) -> DataFrame:
-    hits = routing.post_comments(tables.comments(_events(events))).select("ts", F.col("parent_id").alias("post_id"))
+def posts_daily_rollup(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    hits = routing.post_comments(tables.comments(_events(events, delay))).select("ts", F.col("parent_id").alias("post_id"))
     scores = hits.groupBy(tumbling(F.col("ts"), HOUR).alias("window"), "post_id").agg(F.count("*").alias("score"), F.max("ts").alias("last_ts"))
     hourly = top_k_list(scores, F.col("window"), "post_id")
     summed = hourly.groupBy(F.window("window", DAY).alias("window"), "post_id").agg(F.sum("score").alias("score"), F.max("last_ts").alias("last_ts"), F.min("window.start").alias("stamp"))
@@ -109,8 +110,8 @@ def posts_daily_rollup(events: DataFrame) -> DataFrame:
     return rows.select(F.col("window.start").alias("window_start"), (F.col("pos") + 1).cast("int").alias("rank"), "row.post_id", F.col("row.score").alias("num_comments"), "ts")
 
 
-def users_hourly(events: DataFrame) -> DataFrame:
-    e = _events(events)
+def users_hourly(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    e = _events(events, delay)
     rows = ranking.activity(tables.sign_ups(e), tables.posts(e), tables.comments(e))
     sums = [F.sum(c).cast("bigint").alias(c) for c in "abc"]
     scores = rows.groupBy(tumbling(F.col("ts"), HOUR).alias("window"), "user_id").agg(*sums, F.max("ts").alias("last_ts")).withColumn("score", ranking.activity_score())
@@ -132,17 +133,16 @@ def bounded_run(events: DataFrame, pipeline: Callable[[DataFrame], DataFrame], f
     if flush:  # of every type, so that each branch of a pipeline sees it; ids of its own
         kinds = [(-1 - i, SENTINEL, -1 - i, t, 0.0, '{"k": -1}') for i, t in enumerate(("click", "purchase", "signup"))]
         spark.createDataFrame(kinds, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        made = pipeline(spark.readStream.schema(EVENTS).parquet(f"{folder}/in"))
-        writer = made.writeStream.outputMode("append" if finish is None else "complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-        if finish is None:
-            writer.format("parquet").start(f"{folder}/out").awaitTermination()
-        else:
-            writer.foreachBatch(lambda df, _: finish(df).write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    own = spark.newSession()  # so that runs at the same time don't disturb each other's settings
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    made = pipeline(own.readStream.schema(EVENTS).parquet(f"{folder}/in"))
+    writer = made.writeStream.outputMode("append" if finish is None else "complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if finish is None:
+        writer.format("parquet").start(f"{folder}/out").awaitTermination()
+    else:
+        writer.foreachBatch(lambda df, _: finish(df).write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
     out = spark.read.schema(made.schema).parquet(f"{folder}/out") if finish is None else spark.read.parquet(f"{folder}/out")
     times = [c for c, kind in out.dtypes if kind == "timestamp"]
     first = times[0]
