@@ -9,7 +9,7 @@ of the main region: of the article or main element if the page has one, else of
 never of menus, headers, footers, side bars, notices, adverts, forms or comments, which tags, classes and roles name.
 
 Hosts with more than ``GROUP`` pages are split by a hash into shards of about so many, and a shard that got more into equal
-groups; what says so is a table of those hosts, which Spark broadcasts only if it is small. Within a group, a page that shares a long block and
+groups; what says so is a table of those hosts, which is broadcast if it has at most ``BROADCAST_HOSTS`` rows, else joined. Within a group, a page that shares a long block and
 more than half of its words with an earlier one is a copy and doesn't count in the deduction, so that copies of an article
 don't turn it into a template. Small groups have no template.
 
@@ -32,6 +32,8 @@ from tidemill.llm.common import checkpointed
 from tidemill.session import ship_package
 
 GROUP = 64
+#: Hosts beyond this number of busy ones are told by a shuffle instead of a broadcast; groups are the same.
+BROADCAST_HOSTS = 500_000
 #: A template class has at least so many tokens, in at least so many distinct pages and this part of them.
 MIN_TOKENS, MIN_PAGES, MIN_PART = 3, 4, 0.5
 #: Longer blocks are never template text.
@@ -224,7 +226,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     counts = rows.groupBy("host").count()
     busy = counts.where(F.col("count") > GROUP).select("host", F.ceil(F.col("count") / GROUP).alias("shards"))
-    dealt = rows.join(checkpointed(busy), "host", "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))))
+    busy = checkpointed(busy)
+    few = busy.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    dealt = rows.join(F.broadcast(busy) if few else busy, "host", "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))))
+    if not few:
+        dealt = dealt.repartition("host", "shard")  # else all pages of a host would stay where the join has brought them
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
