@@ -14,7 +14,8 @@ enough kept terms for that at every offset of a copy to the windows are also sou
 too, are checked by the same subsequence (a verbatim copy counts as cosine 1, another as 0); items of fewer than
 ``MIN_WORDS`` words only as they are. Terms, their document counts and both sums are of all rows;
 sums are of matrices of fixed size, added up in two steps. The benchmark goes to the executors in blocks of
-``BLOCK_ITEMS`` items, one search over all documents each.
+``BLOCK_ITEMS`` items, one search over all documents each. For each block the words of a document are looked up once and
+stored as numbers of the block's terms in the shared folder: counts, both sums and the search read those.
 
 Words are lower-case, cut at ASCII characters that are neither letters nor digits. Null or empty texts and items
 leak nothing; repeated documents are each reported, equal items too. No benchmark or no documents: no rows.
@@ -22,7 +23,7 @@ leak nothing; repeated documents are each reported, equal items too. No benchmar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, map_batches, text_or_empty
+from tidemill.llm.common import checkpointed, map_batches, stored, text_or_empty
 from tidemill.session import ship_package
 
 WINDOW, STRIDE, RANK, OVERSAMPLE, SEED = 32, 16, 96, 16, 7
@@ -59,23 +60,39 @@ class Block:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
-        self.answers = [b" ".join(answer_of(t)) for _, t in items]
+        answers = [answer_of(t) for _, t in items]
         self.vocab: dict[bytes, int] = {}
         for w in self.words:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab))
+        self.n_terms = len(self.vocab)
+        for w in answers:  # where lower case is longer, an answer may begin within a word: numbered, but never kept
+            for x in w:
+                self.vocab.setdefault(x, len(self.vocab))
+        self.answers = [self.numbers(w) for w in answers]
         self.idf = np.zeros(len(self.vocab))
         self.kept = np.zeros(len(self.vocab), bool)
         self.basis = np.zeros((len(self.vocab), 0))
 
     def set_counts(self, df: np.ndarray, n_docs: int) -> None:
-        self.kept = df <= max(STOP * n_docs, 2)
+        self.kept = (df <= max(STOP * n_docs, 2)) & (np.arange(len(df)) < self.n_terms)
         self.idf = np.where(self.kept, np.log((n_docs + 1) / (df + 1)) + 1, 0)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Terms of the words; -1 for other words."""
         return np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
 
+    def packed(self, words: list[bytes]) -> bytes:
+        """Numbers of the words, in two bytes each where the terms allow it."""
+        return self.numbers(words).astype(self.number_type).tobytes()
+
+    def unpacked(self, column: pa.Array) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), self.number_type).astype(np.int64) for x in column]
+
+    @property
+    def number_type(self) -> type:
+        return np.int16 if len(self.vocab) < 1 << 15 else np.int32
+
     def passages(self, terms: np.ndarray, least: int = MIN_HITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the windows with enough kept terms; and their terms, flat, with the window of each."""
         at = np.flatnonzero(self.kept[np.maximum(terms, 0)] & (terms >= 0))
@@ -166,7 +183,16 @@ def shared_terms(terms: np.ndarray, rows: np.ndarray, n: int, items: np.ndarray,
     return np.bincount(np.repeat(row, many) * n_items + items[flat], minlength=n * n_items).reshape(n, n_items)
 
 
-def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
+def stands_in(part: np.ndarray, numbers: np.ndarray) -> bool:
+    """Whether ``part`` stands in ``numbers`` as it is."""
+    there, sought, at = numbers.tobytes(), part.astype(numbers.dtype).tobytes(), -1
+    while (at := there.find(sought, at + 1)) >= 0:
+        if at % numbers.itemsize == 0:
+            return True
+    return False
+
+
+def common_subsequence(masks: dict, n: int, words: list) -> int:
     """Length of the longest common subsequence of ``words`` and a string of n words given by its bit masks."""
     full = (1 << n) - 1
     v = full
@@ -177,14 +203,26 @@ def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
     return n - v.bit_count()
 
 
-def bit_masks(words: list[bytes]) -> dict[bytes, int]:
-    masks: dict[bytes, int] = {}
+def bit_masks(words: list) -> dict:
+    masks: dict = {}
     for i, w in enumerate(words):
         masks[w] = masks.get(w, 0) | 1 << i
     return masks
 
 
-def _document_counts(texts: DataFrame, shared) -> tuple[np.ndarray, int]:
+def _numbered(texts: DataFrame, shared, id_type: str | None) -> tuple[DataFrame, Callable[[], None]]:
+    """(id, numbers): the words of each text as packed numbers, in stored files; and what deletes those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for b in batches:
+            numbers = pa.array([block.packed(words_of(t.as_py())) for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*([b.column("id")] if id_type else []), numbers], [*(["id"] if id_type else []), "numbers"])
+
+    return stored(map_batches(texts, run, f"id {id_type}, numbers binary" if id_type else "numbers binary"))
+
+
+def _document_counts(numbered: DataFrame, shared) -> tuple[np.ndarray, int]:
     """In how many documents each term of the block is, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +230,13 @@ def _document_counts(texts: DataFrame, shared) -> tuple[np.ndarray, int]:
         counts = np.zeros(len(block.vocab), np.int64)
         for b in batches:
             n += b.num_rows
-            for t in b.column("text"):
-                terms = np.unique(block.numbers(words_of(t.as_py())))
+            for x in block.unpacked(b.column("numbers")):
+                terms = np.unique(x)
                 counts[terms[terms >= 0]] += 1
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(counts[found], n))], ["term", "n"])
 
-    rows = map_batches(texts.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(numbered.select("numbers"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts, total = np.zeros(len(shared.value.vocab), np.int64), 0
     for r in rows:
         if r.term < 0:
@@ -208,20 +246,20 @@ def _document_counts(texts: DataFrame, shared) -> tuple[np.ndarray, int]:
     return counts, total
 
 
-def _all_passages(texts: DataFrame, shared) -> DataFrame:
+def _all_passages(numbered: DataFrame, shared) -> DataFrame:
     """(terms, sizes): the passages of the documents of a batch, end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for b in batches:
             all_terms, all_sizes = [], []
-            for t in b.column("text"):
-                starts, terms, rows = block.passages(block.numbers(words_of(t.as_py())))
+            for x in block.unpacked(b.column("numbers")):
+                starts, terms, rows = block.passages(x)
                 all_terms.append(terms.astype(np.int32))
                 all_sizes.append(np.bincount(rows, minlength=len(starts)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x)], pa.list_(pa.int32())) for x in (all_terms, all_sizes)], ["terms", "sizes"])
 
-    return map_batches(texts.select("text"), run, "terms array<int>, sizes array<int>")
+    return map_batches(numbered.select("numbers"), run, "terms array<int>, sizes array<int>")
 
 
 def _summed(passages: DataFrame, shape: tuple[int, int], partial) -> np.ndarray:
@@ -273,52 +311,51 @@ def fit_basis(passages: DataFrame, block: Block, shared, rank: int = RANK) -> np
 
 
 def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) -> DataFrame:
-    """The leaks of ``texts`` (id, text); without ``id_type``, the rows of ``texts`` in which none is found."""
+    """The leaks of ``texts`` (id, numbers); without ``id_type``, the rows of ``texts`` (any, text) in which none is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
-        owners, vectors, bare = block.item_windows()
+        owners, vectors, bare = block.windows
         firsts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else owners
         vectors, block.basis = vectors.astype(np.float32), block.basis.astype(np.float32)
         items, begins, least = block.items_of_terms()
-        masks, kinds = [bit_masks(w) for w in block.words], [set(w) for w in block.words]
+        item_numbers = [block.numbers(w) for w in block.words]
+        masks, kinds = [bit_masks(x.tolist()) for x in item_numbers], [set(x.tolist()) for x in item_numbers]
 
         word_items, word_begins, word_least = block.items_by_words(bare)
-        strings = {k: b" " + b" ".join(block.words[k]) + b" " for k in bare}
-        terms_of = {k: np.unique(block.numbers(block.words[k])) for k in bare}
+        terms_of = {k: np.unique(item_numbers[k]) for k in bare}
 
-        def checked(words: list[bytes], k: int, at: int, cosine: float):
+        def checked(numbers: np.ndarray, k: int, at: int, cosine: float):
             n = len(block.words[k])
-            return compared(words[max(0, at - n) : at + WINDOW + n], k, cosine)
+            return compared(numbers[max(0, at - n) : at + WINDOW + n], k, cosine)
 
-        def by_words(words: list[bytes], numbers: np.ndarray, k: int):
+        def by_words(numbers: np.ndarray, k: int):
             """The best hit of an item in the stretches of a document that hold enough of its words."""
             n = len(block.words[k])
-            if strings[k] in b" " + b" ".join(words) + b" ":
+            if stands_in(item_numbers[k], numbers):
                 return 1.0, 1.0, True
             if n < MIN_WORDS:
                 return None
             step = max(1, n // 8)
             width = -(-5 * n // 4) + step
             held = np.concatenate([[0], np.cumsum(np.isin(numbers, terms_of[k]))])
-            starts = np.arange(0, max(1, len(words) - width + step), step)
-            enough = held[np.minimum(starts + width, len(words))] - held[starts] >= MIN_PARAPHRASE * n
-            hits = [h for s in starts[enough].tolist() if (h := compared(words[s : s + width], k, 0.0))]
+            starts = np.arange(0, max(1, len(numbers) - width + step), step)
+            enough = held[np.minimum(starts + width, len(numbers))] - held[starts] >= MIN_PARAPHRASE * n
+            hits = [h for s in starts[enough].tolist() if (h := compared(numbers[s : s + width], k, 0.0))]
             return max(hits, default=None)
 
-        def compared(around: list[bytes], k: int, cosine: float):
-            n = len(block.words[k])
+        def compared(stretch: np.ndarray, k: int, cosine: float):
+            n, around = len(block.words[k]), stretch.tolist()
             if len(kinds[k].intersection(around)) < len(kinds[k]) - (1 - MIN_PARAPHRASE) * n:
                 return None  # each item word that isn't there is missing from any common subsequence
             common = common_subsequence(masks[k], n, around) / n
             if common < MIN_PARAPHRASE:
                 return None
-            answered = bool(block.answers[k]) and b" " + block.answers[k] + b" " in b" " + b" ".join(around) + b" "
+            answered = len(block.answers[k]) > 0 and stands_in(block.answers[k], stretch)
             return (common, cosine, answered) if common >= MIN_COMMON or answered else None
 
-        def leaks(doc_words: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, bool]]:
+        def leaks(numbers: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, bool]]:
             best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-            numbers = [block.numbers(w) for w in doc_words]
             found = [block.passages(x) for x in numbers]
             sizes = [len(s) for s, _, _ in found]
             n = sum(sizes)
@@ -335,23 +372,23 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
                     row, item = np.nonzero((by_item >= min_cosine) & (shared >= least[owners[firsts]]))
                     for p, k, c in zip((row + i).tolist(), owners[firsts[item]].tolist(), by_item[row, item].tolist(), strict=True):
                         key = (int(doc[p]), k)
-                        if best.get(key, (0,))[0] < 1 and (hit := checked(doc_words[key[0]], k, int(starts[p]), c)) and hit > best.get(key, (0,)):
+                        if best.get(key, (0,))[0] < 1 and (hit := checked(numbers[key[0]], k, int(starts[p]), c)) and hit > best.get(key, (0,)):
                             best[key] = hit
             if bare:
                 present = [np.unique(x[x >= 0]) for x in numbers]
                 rows = np.repeat(np.arange(len(present)), [len(x) for x in present])
                 known = shared_terms(np.concatenate(present), rows, len(present), word_items, word_begins, len(bare))
                 for d, i in zip(*(x.tolist() for x in np.nonzero(known >= np.maximum(word_least, 1))), strict=True):
-                    if (hit := by_words(doc_words[d], numbers[d], bare[i])) and hit > best.get((d, bare[i]), (0,)):
+                    if (hit := by_words(numbers[d], bare[i])) and hit > best.get((d, bare[i]), (0,)):
                         best[d, bare[i]] = hit
             for (d, k), (common, cosine, answered) in best.items():
                 yield d, k, cosine, common, answered
 
         for b in batches:
-            texts_ = b.column("text")
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                rows = list(leaks([words_of(t.as_py() or "") for t in texts_.slice(at, 64)]))
+                numbers = block.unpacked(part.column("numbers")) if id_type else [block.numbers(words_of(t.as_py() or "")) for t in part.column("text")]
+                rows = list(leaks(numbers))
                 if id_type is None:
                     leaky = {d for d, *_ in rows}
                     yield part.filter(pa.array([i not in leaky for i in range(part.num_rows)]))
@@ -365,8 +402,11 @@ def _search(texts: DataFrame, shared, id_type: str | None, min_cosine: float) ->
     return map_batches(texts, run, texts.schema if id_type is None else f"id {id_type}, item_id long, cosine double, common double, answered boolean")
 
 
-def _fitted_blocks(texts: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[object]:
-    """For each block of items, what the search broadcasts."""
+def _fitted_blocks(texts: DataFrame, benchmark: DataFrame, rank: int, id_type: str | None) -> Iterator[tuple]:
+    """For each block of items, what the search broadcasts, and the numbered texts; without ``id_type`` their files go after the fit.
+
+    With it they stay, as checkpoints do, for the search is lazy.
+    """
     spark = texts.sparkSession
     ship_package(spark)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text")).where(F.length("text") > 0)
@@ -374,10 +414,16 @@ def _fitted_blocks(texts: DataFrame, benchmark: DataFrame, rank: int) -> Iterato
     while held := list(islice(items, BLOCK_ITEMS)):
         block = Block(held)
         if block.vocab:
-            block.set_counts(*_document_counts(texts, spark.sparkContext.broadcast(block)))
+            shared = spark.sparkContext.broadcast(block)
+            numbered, drop = _numbered(texts, shared, id_type)
+            block.set_counts(*_document_counts(numbered, shared))
             counted = spark.sparkContext.broadcast(block)
-            block.basis = fit_basis(checkpointed(_all_passages(texts, counted)), block, counted, rank)
-            yield spark.sparkContext.broadcast(block)
+            passages = checkpointed(_all_passages(numbered, counted))
+            if not id_type:
+                drop()
+            block.basis = fit_basis(passages, block, counted, rank)
+            block.windows = block.item_windows()
+            yield spark.sparkContext.broadcast(block), numbered
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -385,14 +431,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col))
     out = docs.sparkSession.createDataFrame([], f"id {id_type}, item_id long, cosine double, common double, answered boolean")
-    for block in _fitted_blocks(texts, benchmark, rank):
-        out = out.unionByName(_search(texts, block, id_type, min_cosine))
+    for block, numbered in _fitted_blocks(texts, benchmark, rank, id_type):
+        out = out.unionByName(_search(numbered, block, id_type, min_cosine))
     return out.withColumnRenamed("id", id_col)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
     """The rows of ``docs``, all columns, into which no item leaks; no shuffle of texts."""
     out = docs.withColumnRenamed(text_col, "text")
-    for block in _fitted_blocks(docs.select(text_or_empty(text_col)), benchmark, rank):
+    for block, _ in _fitted_blocks(docs.select(text_or_empty(text_col)), benchmark, rank, None):
         out = _search(out, block, None, min_cosine)
     return out.withColumnRenamed("text", text_col)
