@@ -1,5 +1,8 @@
 import datetime as dt
+import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +122,44 @@ def test_stream_equals_batch_even_shuffled(spark):
     assert stream.exceptAll(batch).isEmpty() and batch.exceptAll(stream).isEmpty()
 
 
+def test_first_friendships_of_a_stream_are_kept_by_built_in_state(spark, tmp_path):
+    """Python sees buckets of pairs and keeps nothing; late rows, a pair of none and large ids are told apart."""
+    day, large = dt.datetime(2024, 1, 1), 2**60 + 1
+    batches = [
+        [(1, 0, 1, 2), (2, 2, 3, 4), (3, 1, 4, 3), (4, 1, 4, 3), (5, 0, None, None), (6, 0, large, large + 2), (large, 1, large, large + 1), (None, 1, large, large + 1)],
+        [(8, 240, 8, 9)],
+        [(9, 241, 8, 9)],
+        [(10, 3, 5, 6), (11, 250, 6, 5), (12, 249, 5, 6), (13, 250, 1, 2)],  # the first is late
+    ]
+    for i, rows in enumerate(batches):
+        events = [(e, day + dt.timedelta(hours=h), a, "view", 0.0, f'{{"k": {b}}}' if b is not None else "{}") for e, h, a, b in rows]
+        made = tmp_path / f"made{i}"
+        spark.createDataFrame(events, pipelines.EVENTS).coalesce(1).write.parquet(str(made))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        to = next(made.glob("*.parquet")).rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(to, (1000 + i, 1000 + i))
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.ROCKSDB)
+    stream = own.readStream.schema(pipelines.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    found = pipelines.first_friendships(tables.friendships(stream))
+    query = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    rows = {(r.hi, r.lo, r.event_id) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
+    assert rows == {(2, 1, 1), (4, 3, 3), (None, None, 5), (large + 2, large, 6), (large + 1, large, large), (9, 8, 8), (6, 5, 12)}
+    state = {o["operatorName"]: o["numRowsTotal"] for o in query.lastProgress["stateOperators"]}
+    assert state == {"transformWithStateInPandasExec": 0, "dedupe": len(rows)}
+
+
+def test_a_bucket_is_reduced_as_it_comes(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"hi": rng.integers(50, 60, 900), "lo": rng.integers(0, 20, 900), "ts": pd.to_datetime(rng.integers(0, 40, 900), unit="h"), "no_id": rng.random(900) < 0.3, "event_id": rng.permutation(900), "bucket": 1})
+    want = rows.sort_values(["ts", "no_id", "event_id"]).groupby(["hi", "lo"], as_index=False).first()[["hi", "lo", "ts", "no_id", "event_id"]]
+    monkeypatch.setattr(pipelines, "HELD_ROWS", 64)
+    [got] = pipelines.LeastOfPairs().handleInputRows((1,), (rows[i : i + 30] for i in range(0, 900, 30)), None)
+    assert got.sort_values(["hi", "lo"]).reset_index(drop=True).equals(want)
+
+
 def test_open_windows_need_the_closing_row(spark):
     events = small_events(spark)
     windows = q.commented_posts(tables.comments(events), "1 hour", None).select("window_start").distinct().count()
